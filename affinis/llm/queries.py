@@ -6,17 +6,35 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from affinis.llm import exact_dedup, mixing, quality_rules
-from affinis.llm.common import read_table
+from affinis.llm import exact_dedup, langid, mixing, packing, quality_rules, secrets, token_count
+from affinis.llm.common import durable, read_table
 from affinis.llm.oracles import ORACLE_SQL as ORACLE_SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read_table(spark, sf_dir, "documents"))
+
+
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    ledger = durable(secrets.scan_blobs(docs))
+    return secrets.digest(secrets.findings(docs, ledger))
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(read_table(spark, sf_dir, "documents"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.content_sort(read_table(spark, sf_dir, "documents"))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_count.count_tokens(read_table(spark, sf_dir, "documents"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality(read_table(spark, sf_dir, "documents"))
 
@@ -25,4 +43,4 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(read_table(spark, sf_dir, "documents")).rows
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op5_exact_dedup, op7_quality_rules, op8_mixing)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_packing, op2_secret_scan, op3_language_id, op5_exact_dedup, op6_token_counts, op7_quality_rules, op8_mixing)}
