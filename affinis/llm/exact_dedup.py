@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from affinis.llm.common import NULL_ID, ascii_lower, durable, ids_back, ids_of, shuffle_parts, small_batches
+from affinis.llm.common import ascii_lower, durable, ids_back, ids_of, shuffle_parts, small_batches
 
 #: Characters of the text in a splitter.
 PREFIX = 48
@@ -124,4 +124,3 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.join(kept, docs[id_col].eqNullSafe(F.col("__kept_id")), "left_semi")
 
 
-assert NULL_ID < 0

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from affinis.llm import exact_dedup, langid, mixing, packing, quality_rules, secrets, token_count
+from affinis.llm import exact_dedup, langid, mixing, ngram_join, packing, quality_rules, secrets, token_count
 from affinis.llm.common import durable, read_table
 from affinis.llm.oracles import ORACLE_SQL as ORACLE_SQL
 
@@ -27,6 +27,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(read_table(spark, sf_dir, "documents"))
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.content_sort(read_table(spark, sf_dir, "documents"))
 
@@ -43,4 +47,4 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(read_table(spark, sf_dir, "documents")).rows
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_packing, op2_secret_scan, op3_language_id, op5_exact_dedup, op6_token_counts, op7_quality_rules, op8_mixing)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_packing, op2_secret_scan, op3_language_id, op4_ngram_join, op5_exact_dedup, op6_token_counts, op7_quality_rules, op8_mixing)}
