@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from affinis.llm import exact_dedup, langid, lm_score, mixing, ngram_join, packing, quality_rules, secrets, token_count
+from affinis.llm import exact_dedup, langid, lm_score, mixing, ngram_join, packing, quality_rules, secrets, suffix_dedup, token_count
 from affinis.llm.common import durable, read_table
 from affinis.llm.oracles import ORACLE_SQL as ORACLE_SQL
 
@@ -47,8 +47,12 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(read_table(spark, sf_dir, "documents")).rows
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeats(read_table(spark, sf_dir, "documents"))
+
+
 def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_packing, op2_secret_scan, op3_language_id, op4_ngram_join, op5_exact_dedup, op6_token_counts, op7_quality_rules, op8_mixing, op10_lm_score)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_packing, op2_secret_scan, op3_language_id, op4_ngram_join, op5_exact_dedup, op6_token_counts, op7_quality_rules, op8_mixing, op9_suffix_dedup, op10_lm_score)}
