@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from affinis.llm.common import ids_back, ids_of, small_batches
-from affinis.llm.tokens import WordEncoder, tokenizer_path
+from affinis.llm.tokens import tokenizer_path, word_encoder
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long"
 
@@ -136,7 +136,7 @@ class Packer:
 def _packed(path: str, end_id: int, limits: Limits):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, count = TaskContext.get().partitionId() << 32, 0
-        encoder, packer = WordEncoder(path), Packer(limits)
+        encoder, packer = word_encoder(path), Packer(limits)
         end = int(end_id).to_bytes(4, "little")
         rows: list[tuple] = []
 

@@ -28,9 +28,10 @@ class WordEncoder:
 
     The tokenizer's pieces never span a blank or a line feed, and its normaliser treats what lies between them
     alone, so a text's ids are those of its blank-separated parts in order.  Each part is encoded by the library.
+    A worker keeps its memo over tasks; it is emptied when it has MOST parts, about 150 MB.
     """
 
-    LONGEST, MOST = 48, 150_000
+    LONGEST, MOST = 48, 700_000
 
     def __init__(self, path: str):
         self.path, self.memo = path, {}
@@ -41,11 +42,17 @@ class WordEncoder:
         known = self.memo
         new = list({p for part in parts for p in part if p not in known})
         if new:
-            found = tokenizer(self.path).encode_batch_fast(new, add_special_tokens=False)
-            known = known | {p: array("I", e.ids).tobytes() for p, e in zip(new, found, strict=True)} if any(len(p) > self.LONGEST for p in new) else known
-            if known is self.memo:
-                known.update((p, array("I", e.ids).tobytes()) for p, e in zip(new, found, strict=True))
+            found = {p: array("I", e.ids).tobytes() for p, e in zip(new, tokenizer(self.path).encode_batch_fast(new, add_special_tokens=False), strict=True)}
+            if any(len(p) > self.LONGEST for p in new):
+                known = known | found
+            else:
+                known.update(found)
         out = [b"".join(map(known.__getitem__, part)) for part in parts]
         if len(self.memo) > self.MOST:
             self.memo.clear()
         return out
+
+
+@functools.cache
+def word_encoder(path: str) -> WordEncoder:
+    return WordEncoder(path)
