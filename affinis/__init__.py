@@ -1,0 +1 @@
+"""Batch record linkage on Spark: sources, text functions, operators, and the plans that join them."""

@@ -1,0 +1 @@
+"""Scalar functions of record linkage."""

@@ -1,0 +1 @@
+"""Relational operators of record linkage: DataFrames in, DataFrames out."""

@@ -1,0 +1 @@
+"""Whole plans: fixtures, registered queries with their SQL, training and prediction."""

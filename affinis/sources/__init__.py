@@ -1,0 +1 @@
+"""Readers and writers of record tables, match lists and submissions."""

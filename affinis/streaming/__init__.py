@@ -1,0 +1 @@
+"""Record linkage as covered here is a batch job; there is no streaming operator to offer."""
