@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from affinis.llm.common import ids_back, ids_of, small_batches
+from affinis.llm.common import ids_back, ids_of, slices, small_batches, text_bytes
 from affinis.llm.tokens import tokenizer_path, word_encoder
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long"
@@ -155,12 +155,14 @@ def _packed(path: str, end_id: int, limits: Limits):
             return pa.RecordBatch.from_arrays([ids_back(cols[0]), *map(pa.array, cols[1:])], names)
 
         for batch in batches:
-            ids = ids_of(batch.column(0))
-            texts, share = batch.column(1).fill_null("").to_pylist(), batch.column(2).to_numpy(zero_copy_only=False)
-            for lo in range(0, len(texts), 256):
-                for k, got in enumerate(encoder.encode(texts[lo : lo + 256]), lo):
-                    got += end
-                    for sequence in packer.add(Piece(int(ids[k]), len(got) // 4, 0, got, share[k])):
+            ids, share = ids_of(batch.column(0)), batch.column(2).to_numpy(zero_copy_only=False)
+            buf, offsets = text_bytes(batch.column(1))
+            for lo, hi in slices(offsets, 1 << 22):
+                tokens, at = encoder.encode(buf[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+                raw = tokens.astype("<u4").tobytes()
+                for k in range(lo, hi):
+                    own = raw[4 * at[k - lo] : 4 * at[k - lo + 1]] + end
+                    for sequence in packer.add(Piece(int(ids[k]), len(own) // 4, 0, own, share[k])):
                         put(sequence)
             if rows:
                 yield out()
