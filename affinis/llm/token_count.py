@@ -20,20 +20,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from affinis.llm.common import durable, shuffle_parts, small_batches
-from affinis.llm.tokens import tokenizer, tokenizer_path
+from affinis.llm.tokens import piece_counter, tokenizer, tokenizer_path
 
 CHUNK, OVERLAP = 32_768, 512
 #: White space after a character that is none.
 STABLE = re.compile(r"(?<=\S)\s")
 
 
-def chunks(text: str, size: int = CHUNK, overlap: int = OVERLAP) -> Iterator[tuple[int, int, int, int]]:
+def chunks(text: str, size: int = CHUNK, overlap: int = OVERLAP, stable: re.Pattern = STABLE) -> Iterator[tuple[int, int, int, int]]:
     """(start, end, first, last): encode [start, end), count the tokens that start in [first, last)."""
     n, start, first = len(text), 0, 0
     while True:
         end, width = min(start + size, n), overlap
         while end < n:
-            m = STABLE.search(text, max(first + 1, end - width), end)
+            m = stable.search(text, max(first + 1, end - width), end)
             # a position needs text behind it in this chunk, and its own chunk before it
             if m and m.start() < end - 1:
                 break
@@ -50,21 +50,21 @@ def chunks(text: str, size: int = CHUNK, overlap: int = OVERLAP) -> Iterator[tup
 
 def _whole(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = tokenizer(path)
+        counter = piece_counter(path)
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            counts = [len(e) for lo in range(0, len(texts), 64) for e in t.encode_batch_fast(texts[lo : lo + 64], add_special_tokens=False)]
+            counts = [n for lo in range(0, len(texts), 256) for n in counter.count(texts[lo : lo + 256])]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(counts, pa.int64())], ["id", "n_bytes", "n_tokens"])
 
     return run
 
 
-def _cut(size: int, overlap: int):
+def _cut(size: int, overlap: int, stable: re.Pattern):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k, text in enumerate(batch.column(4)):
                 text = text.as_py()
-                out = [(text[a:b], first - a, last - a, b == len(text)) for a, b, first, last in chunks(text, size, overlap)]
+                out = [(text[a:b], first - a, last - a, b == len(text)) for a, b, first, last in chunks(text, size, overlap, stable)]
                 for lo in range(0, len(out), 64):
                     part = out[lo : lo + 64]
                     n = len(part)
@@ -75,6 +75,14 @@ def _cut(size: int, overlap: int):
     return run
 
 
+def _token_at(encoding, place: int) -> int | None:
+    """The token that starts at a character, None if none does."""
+    if place == 0:
+        return 0
+    token = encoding.char_to_token(place)
+    return token if token is not None and encoding.token_to_chars(token)[0] == place else None
+
+
 def _encode(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizer(path)
@@ -84,15 +92,15 @@ def _encode(path: str):
             for lo in range(0, batch.num_rows, 32):
                 texts = batch.column(4)[lo : lo + 32].to_pylist()
                 for k, e in enumerate(t.encode_batch(texts, add_special_tokens=False), lo):
-                    at = np.array([a for a, _ in e.offsets], np.int64)
-                    counts.append(int(((at >= firsts[k]) & (at < lasts[k])).sum()))
-                    good.append(bool((firsts[k] == 0 or firsts[k] in at) and (ends[k] or lasts[k] in at)))
+                    a, b = _token_at(e, firsts[k]), len(e) if ends[k] else _token_at(e, lasts[k])
+                    good.append(a is not None and b is not None)
+                    counts.append(b - a if good[-1] else 0)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in range(4)), pa.array(counts, pa.int64()), pa.array(good)], ["row", "id", "n_bytes", "hash", "n", "aligned"])
 
     return run
 
 
-def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer_name: str = "byte_bpe_50k.json", chunk: int = CHUNK, overlap: int = OVERLAP, limit: int = 1024) -> DataFrame:
+def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer_name: str = "byte_bpe_50k.json", chunk: int = CHUNK, overlap: int = OVERLAP, limit: int = 1024, stable: re.Pattern = STABLE) -> DataFrame:
     """id, n_bytes, n_tokens and over_limit (n_tokens > limit) of each row.
 
     Counts are those of the library for the whole text, without begin, end or added tokens.  A null text is
@@ -110,7 +118,7 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     parts, key = shuffle_parts(spark), "row long, id long, n_bytes long, hash long"
     while True:
         numbered = left.select(F.monotonically_increasing_id().alias("row"), "id", "n_bytes", "hash", "text")
-        cut = numbered.mapInArrow(_cut(chunk, overlap), f"{key}, no long, text string, first long, last long, ends boolean")
+        cut = numbered.mapInArrow(_cut(chunk, overlap, stable), f"{key}, no long, text string, first long, last long, ends boolean")
         dealt = cut.repartition(parts, "row", "no").drop("no")
         coded = dealt.mapInArrow(_encode(path), f"{key}, n long, aligned boolean")
         counted = durable(coded.groupBy("row", "id", "n_bytes", "hash").agg(F.sum("n").alias("n_tokens"), F.bool_and("aligned").alias("aligned")))

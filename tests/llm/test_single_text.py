@@ -2,6 +2,7 @@
 
 import functools
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -217,10 +218,36 @@ def test_token_counts(spark, sf, nasty, nasty_rows, empty):
     assert token_count.count_tokens(empty).count() == 0
 
 
-def test_token_counts_widen_when_chunks_do_not_align(spark, nasty, nasty_rows, monkeypatch):
-    monkeypatch.setattr(token_count, "STABLE", re.compile("[a-z]"))  # not a place where tokens must start
+def test_counting_by_parts():
+    from affinis.llm.tokens import PieceCounter, tokenizer_path
+
+    rng, alphabet = random.Random(7), ["a", "b", " ", " ", "\n", "\t", "'s", "12", ".", "é", "\u00a0", "\u3000", "<|endoftext|>", "x" * 50]
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(0, 25))) for _ in range(3000)]
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    counter = PieceCounter(tokenizer_path("byte_bpe_50k.json"))
+    got = [n for lo in range(0, 3000, 100) for n in counter.count(texts[lo : lo + 100])]
+    assert got == [len(t.encode(x, add_special_tokens=False).ids) for x in texts]
+
+
+def test_encoding_by_parts():
+    from affinis.llm.tokens import WordEncoder, tokenizer_path
+
+    rng, alphabet = random.Random(8), ["a", "B", " ", "\n", "\t", "'s", "12", ".", "e\u0301", "\u0301", "\u00a0", "\u001c", "<|endoftext|>", "x" * 50, "İ", "ΑΣ"]
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(0, 25))) for _ in range(3000)]
+    encoder = WordEncoder(tokenizer_path("word_bpe_49k.json"))
+    encoder.MOST = 2000  # the memo starts again now and then
+    got = []
+    for lo in range(0, 3000, 100):
+        raw = [x.encode() for x in texts[lo : lo + 100]]
+        ids, at = encoder.encode(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]))
+        got += [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)]
+    assert got == [ids_by_library(x)[:-1] for x in texts]
+
+
+def test_token_counts_widen_when_chunks_do_not_align(spark, nasty, nasty_rows):
+    wrong = re.compile("[a-z]")  # not a place where tokens must start
     rows = nasty.filter("doc_id in (1, 2, 6, 9, 12)")
-    check_counts([r for r in nasty_rows if r[0] in (1, 2, 6, 9, 12)], token_count.count_tokens(rows, chunk=200, overlap=4).collect())
+    check_counts([r for r in nasty_rows if r[0] in (1, 2, 6, 9, 12)], token_count.count_tokens(rows, chunk=200, overlap=4, stable=wrong).collect())
 
 
 @pytest.mark.parametrize("text", ["", "a", "a b", "x" * 500, "ab  cd\n\n ef " * 40, " " * 300])
