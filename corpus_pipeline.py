@@ -1,10 +1,67 @@
-"""The corpus pipeline: quality rules, exact dedup, near-duplicate join, mixing and packing of documents."""
+"""From documents to packed sequences: quality rules, exact dedup, near duplicates, mixing, packing.
+
+Each stage takes all rows that the one before kept.  Between stages the rows are a Parquet table in the shared
+folder that spark.checkpoint.dir names, so a lost executor costs no stage that is done.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from affinis.llm import exact_dedup, mixing, ngram_join, packing, quality_rules
+from affinis.llm.common import read_table, stored
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+#: MinHash joins and tokenizers have no SQL form; tests/llm holds run() against a brute-force version.
 ORACLE_SQL = None
-STAGES = []
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rules reject go."""
+    kept = quality_rules.quality(docs).filter("kept").select(F.col("doc_id").alias("kept_id"))
+    return docs.join(kept, docs.doc_id.eqNullSafe(F.col("kept_id")), "left_semi")
+
+
+def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the row with the largest id stays."""
+    return exact_dedup.drop_copies(docs)
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near duplicates the document with the smallest id stays."""
+    return ngram_join.drop_near_duplicates(docs)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes its words, to the nearest whole document; up to three times."""
+    taken = mixing.mix_sources(docs).rows
+    times = taken.filter("size > 0").select(F.col("doc_id").alias("taken_id"), F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias("times"))
+    one = times.groupBy("taken_id").agg(F.max("times").alias("times")).filter("times > 0")
+    joined = docs.join(one, docs.doc_id.eqNullSafe(F.col("taken_id")))
+    return joined.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*docs.columns)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of tokens, one row a piece."""
+    return packing.pack(docs)
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality_rules", quality_stage),
+    ("exact_dedup", exact_stage),
+    ("ngram_join", near_stage),
+    ("mixing", mixing_stage),
+    ("packing", packing_stage),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each written and reread; the last one's rows."""
+    docs = read_table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
