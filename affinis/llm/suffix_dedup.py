@@ -10,8 +10,10 @@ anchor, its K-gram with the least hash, and equal windows have equal anchors.  N
 make a segment (about 35 windows).  Segments meet by anchor:
 
 1. a segment whose bytes have been seen at an earlier place goes whole, first within a batch, then over all;
-2. different segments with one anchor, the places where a match begins or ends, send their bytes to a suffix
-   array, one a partition, that is sorted by the windows' bytes and gives each window's verdict;
+2. different segments with one anchor, the places where a match begins or ends, send their bytes to suffix
+   arrays that are sorted by the windows' bytes and give each window's verdict.  A window reaches SIDE bytes or
+   more beyond its anchor on one side at least, so a segment that shares neither side's hash with another can't
+   share a window and is left out;
 3. an anchor shared by more than HOT different segments is dealt by the hash of each window instead.
 
 Windows with equal bytes thus always meet, and only bytes near the ends of matches are ever sorted.
@@ -32,6 +34,10 @@ from affinis.llm.common import HASH_INVERSE, NULL_ID, durable, ids_of, mix64, po
 
 LENGTH, K = 100, 32
 HOT = 4096
+#: Every window has so many bytes left or right of its anchor.
+SIDE = (LENGTH - K) // 2
+#: Suffixes that are sorted together, about; those of one anchor always are.
+TOGETHER = 200_000
 #: Bytes of one text that are looked at together.
 PIECE = 4 << 20
 _PLACE = np.uint64((1 << 24) - 1)
@@ -110,11 +116,14 @@ def merged(start: np.ndarray, end: np.ndarray) -> np.ndarray:
 
 
 def segments(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(row, first window, windows, anchor hash, content hash) of the segments of each row's windows, in order."""
+    """(row, first window, windows, anchor, content, left side, right side) of the segments of each row's windows.
+
+    The last four are hashes; a side's is 0 where the row has not so many bytes there.
+    """
     n = len(raw)
     lens = np.maximum(np.diff(offsets) - LENGTH + 1, 0)
     if not lens.sum():
-        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2
+        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2 + (np.zeros(0, np.uint16),) * 2
     sums = prefix_sums(raw, 41)
     grams = mix64((sums[K:] - sums[:-K]) * powers_for(HASH_INVERSE, n + 1)[: n - K + 1])
     least = (grams & ~_PLACE) | np.arange(len(grams), dtype=np.uint64)
@@ -134,7 +143,13 @@ def segments(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     lo, anchor, row = window[at], anchor[at], row[at]
     shape = ((anchor - lo) * LENGTH + count).astype(np.uint64)
     content = mix64(range_hashes(sums, lo, lo + count - 1 + LENGTH) + shape * np.uint64(0xA24BAED4963EE407))
-    return row, lo - offsets[row], count, grams[anchor], content
+
+    def side(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        inside = (a >= offsets[row]) & (b <= offsets[row + 1])
+        h = (range_hashes(sums, np.where(inside, a, 0), np.where(inside, b, 0)) >> np.uint64(48)).astype(np.uint16)
+        return np.where(inside, np.maximum(h, 1), 0).astype(np.uint16)
+
+    return row, lo - offsets[row], count, grams[anchor], content, side(anchor - SIDE, anchor + K), side(anchor, anchor + K + SIDE)
 
 
 # --- dealing segments by anchor
@@ -155,11 +170,12 @@ def _starts(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
         raw, off = buf[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
         for a in range(0, max(len(raw), 1), PIECE) if hi == lo + 1 else (None,):
             part = raw if a is None else raw[a : a + PIECE + LENGTH - 1]
-            row, start, count, anchor, content = segments(part, off if a is None else np.array([0, len(part)]))
-            yield row + lo, start + (a or 0), count, anchor, content
+            row, start, *rest = segments(part, off if a is None else np.array([0, len(part)]))
+            yield row + lo, start + (a or 0), *rest
 
 
-SEGMENT = np.dtype([("anchor", "<u8"), ("content", "<u8"), ("start", "<u4"), ("doc", "<u2"), ("count", "u1")])
+#: anchor: the upper half of its hash; the lower gives the part.
+SEGMENT = np.dtype([("anchor", "<u4"), ("content", "<u8"), ("start", "<u4"), ("doc", "<u2"), ("count", "u1"), ("left", "<u2"), ("right", "<u2")])
 DEALT = "part long, id long, tie long, gone binary, ids binary, ties binary, segments binary"
 
 
@@ -173,7 +189,7 @@ def _deal(parts: int):
             order = np.lexsort((ties, ids))
             batch = batch.take(pa.array(order))
             ids, ties = ids[order], ties[order]
-            doc, start, count, anchor, content = (np.concatenate(x) for x in zip(*_starts(batch), strict=True))
+            doc, start, count, anchor, content, left, right = (np.concatenate(x) for x in zip(*_starts(batch), strict=True))
             # the first place in this batch of each segment; the others go
             both = mix64(anchor + content * np.uint64(0x9E3779B97F4A7C15))
             by = np.argsort(both, kind="stable")
@@ -193,7 +209,8 @@ def _deal(parts: int):
                 own = live[at]
                 docs, place = np.unique(doc[own], return_inverse=True)
                 seg = np.empty(len(own), SEGMENT)
-                seg["anchor"], seg["content"], seg["start"], seg["doc"], seg["count"] = anchor[own], content[own], start[own], place, count[own]
+                seg["anchor"], seg["content"], seg["start"], seg["doc"], seg["count"] = anchor[own] >> np.uint64(32), content[own], start[own], place, count[own]
+                seg["left"], seg["right"] = left[own], right[own]
                 out.append((p, None, None, None, ids[docs].tobytes(), ties[docs].astype(np.uint32).tobytes(), seg.tobytes()))
             cols = list(zip(*out, strict=True)) if out else [[]] * 7
             kinds = [pa.int64()] * 3 + [pa.binary()] * 4
@@ -211,17 +228,43 @@ def _groups(key: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
 
 
 OPEN = np.dtype([("anchor", "<u8"), ("start", "<i8"), ("count", "<i4"), ("hot", "<i4")])
-MARKS = "id long, tie long, gone binary, open binary"
+MARKS = "id long, tie long, gone array<binary>, open array<binary>"
+#: Marks on their way to their documents: many documents to a row.
+SENT = "dest long, ids array<long>, ties array<long>, gone array<binary>, open array<binary>"
 
 
-def _meet(most: int):
+def _sent(parts: int, ids: np.ndarray, ties: np.ndarray, gone: list, open_: list) -> pa.RecordBatch:
+    dest = (mix64(ids.view(np.uint64) + np.uint64(1)) % np.uint64(parts)).astype(np.int64)
+    rows = list(_by_part(dest, parts))
+    pick = lambda values, kind: pa.array([[values[k] for k in at] for _, at in rows], pa.list_(kind))
+    return pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows], pa.int64()), pick(ids.tolist(), pa.int64()), pick(ties.tolist(), pa.int64()), pick(gone, pa.binary()), pick(open_, pa.binary())], ["dest", "ids", "ties", "gone", "open"])
+
+
+def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each document of a partition that has marks."""
+    held: dict[tuple[int, int], tuple[list, list]] = {}
+    for batch in batches:
+        for ids, ties, gone, open_ in zip(*(batch.column(c).to_pylist() for c in range(1, 5)), strict=True):
+            for i, t, g, o in zip(ids, ties, gone, open_, strict=True):
+                mine = held.setdefault((i, t), ([], []))
+                if g is not None:
+                    mine[0].append(g)
+                if o is not None:
+                    mine[1].append(o)
+    keys = list(held)
+    for lo in range(0, len(keys), 10_000):
+        own = keys[lo : lo + 10_000]
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in own], pa.int64()), pa.array([k[1] for k in own], pa.int64()), *(pa.array([held[k][c] for k in own], pa.list_(pa.binary())) for c in (0, 1))], ["id", "tie", "gone", "open"])
+
+
+def _meet(parts: int, most: int):
     """Segments of some anchors -> for each document what goes, and which segments need the suffix array."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         id_parts, tie_parts, seg_parts, base = [], [], [], 0
         for batch in batches:
             kept = [], [], []
-            for id_, tie, gone, ids, ties, segs in zip(*(batch.column(c) for c in range(1, 7)), strict=True):
+            for part, id_, tie, gone, ids, ties, segs in zip(*(batch.column(c) for c in range(7)), strict=True):
                 if gone.is_valid:
                     for x, y in zip(kept, (id_, tie, gone), strict=True):
                         x.append(y.as_py())
@@ -229,10 +272,10 @@ def _meet(most: int):
                 seg = np.frombuffer(segs.as_buffer(), SEGMENT)
                 id_parts.append(np.frombuffer(ids.as_buffer(), np.int64))
                 tie_parts.append(np.frombuffer(ties.as_buffer(), np.uint32).astype(np.int64))
-                seg_parts.append((seg, seg["doc"].astype(np.int64) + base))
+                seg_parts.append((seg, seg["doc"].astype(np.int64) + base, seg["anchor"].astype(np.uint64) | np.uint64(part.as_py() << 32)))
                 base += len(id_parts[-1])
             if kept[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(kept[0], pa.int64()), pa.array(kept[1], pa.int64()), pa.array(kept[2], pa.binary()), pa.nulls(len(kept[0]), pa.binary())], ["id", "tie", "gone", "open"])
+                yield _sent(parts, np.array(kept[0], np.int64), np.array(kept[1], np.int64), kept[2], [None] * len(kept[0]))
         if not seg_parts:
             return
         ids, ties = np.concatenate(id_parts), np.concatenate(tie_parts)
@@ -242,32 +285,36 @@ def _meet(most: int):
         rank = np.empty(len(order), np.int64)
         rank[order] = np.cumsum(new) - 1
         ids, ties = ids[order[new]], ties[order[new]]
-        seg, doc = np.concatenate([s for s, _ in seg_parts]), rank[np.concatenate([d for _, d in seg_parts])]
-        by = np.lexsort((seg["start"], doc, seg["content"], seg["anchor"]))
-        seg, doc = seg[by], doc[by]
+        seg, doc, anchor = np.concatenate([s[0] for s in seg_parts]), rank[np.concatenate([s[1] for s in seg_parts])], np.concatenate([s[2] for s in seg_parts])
+        by = np.lexsort((seg["start"], doc, seg["content"], anchor))
+        seg, doc, anchor = seg[by], doc[by], anchor[by]
         start, count = seg["start"].astype(np.int64), seg["count"].astype(np.int64)
         other = np.ones(len(seg), bool)  # first of its content
-        other[1:] = (seg["anchor"][1:] != seg["anchor"][:-1]) | (seg["content"][1:] != seg["content"][:-1])
+        other[1:] = (anchor[1:] != anchor[:-1]) | (seg["content"][1:] != seg["content"][:-1])
         first = np.maximum.accumulate(np.where(other, np.arange(len(seg)), 0))
         gone = (doc != doc[first]) | (start != start[first])
         heads = np.flatnonzero(other)
-        _, where, uses = np.unique(seg["anchor"][heads], return_inverse=True, return_counts=True)
-        open_ = heads[uses[where] > 1]
-        hot = (uses[where] > most)[uses[where] > 1]
+        _, where, uses = np.unique(anchor[heads], return_inverse=True, return_counts=True)
+        shared = np.zeros(len(heads), bool)
+        for side in ("left", "right"):
+            have = np.flatnonzero((uses[where] > 1) & (seg[side][heads] > 0))
+            _, at, same = np.unique(mix64(anchor[heads[have]] * np.uint64(0x9E3779B97F4A7C15) + seg[side][heads[have]]), return_inverse=True, return_counts=True)
+            shared[have[same[at] > 1]] = True
+        open_, hot = heads[shared], (uses[where] > most)[shared]
         lost = np.flatnonzero(gone)
-        parts = {}
+        marks = {}
         for d, at in _groups(doc[lost]):
             own = lost[at]
-            parts[d] = [merged(start[own], start[own] + count[own] - 1 + LENGTH).tobytes(), None]
+            marks[d] = [merged(start[own], start[own] + count[own] - 1 + LENGTH).tobytes(), None]
         for d, at in _groups(doc[open_]):
             own = open_[at]
             x = np.empty(len(own), OPEN)
-            x["anchor"], x["start"], x["count"], x["hot"] = seg["anchor"][own], start[own], count[own], hot[at]
-            parts.setdefault(d, [None, None])[1] = x.tobytes()
-        keys = np.fromiter(parts, np.int64, len(parts))
+            x["anchor"], x["start"], x["count"], x["hot"] = anchor[own], start[own], count[own], hot[at]
+            marks.setdefault(d, [None, None])[1] = x.tobytes()
+        keys = np.fromiter(marks, np.int64, len(marks))
         for lo in range(0, len(keys), 20_000):
             own = keys[lo : lo + 20_000]
-            yield pa.RecordBatch.from_arrays([pa.array(ids[own]), pa.array(ties[own]), pa.array([parts[k][0] for k in own], pa.binary()), pa.array([parts[k][1] for k in own], pa.binary())], ["id", "tie", "gone", "open"])
+            yield _sent(parts, ids[own], ties[own], [marks[k][0] for k in own], [marks[k][1] for k in own])
 
     return run
 
@@ -275,7 +322,7 @@ def _meet(most: int):
 # --- the suffix arrays
 
 STATE = "part long, id long, tie long, n_bytes long, n_removed long, n_spans long, sha string, gone binary, text binary, ids binary, ties binary, places binary, bytes binary"
-PLACE = np.dtype([("doc", "<i4"), ("count", "<i4"), ("start", "<i8")])
+PLACE = np.dtype([("doc", "<i4"), ("count", "<i4"), ("start", "<i8"), ("lot", "<u4")])
 
 
 def cut(text: bytes, gone: np.ndarray) -> tuple[int, int, str]:
@@ -318,17 +365,17 @@ def _apply(parts: int):
                     step = [(a + w, 1) for w in range(n)] if s["hot"] else [(a, n)]
                     for b, m in step:
                         piece = raw[b : b + m - 1 + LENGTH]
-                        part = int.from_bytes(hashlib.blake2b(piece.tobytes(), digest_size=8).digest(), "little") if s["hot"] else int(s["anchor"])
+                        key = hashlib.blake2b(piece.tobytes() if s["hot"] else s["anchor"].tobytes(), digest_size=8).digest()
                         open_docs.append(k)
-                        open_segs.append((part % parts, m, b))
+                        open_segs.append((int.from_bytes(key[:4], "little") % parts, m, b, int.from_bytes(key[4:], "little")))
                         pieces.append(piece.tobytes())
             if pieces:
-                part, count, start = (np.array(x, np.int64) for x in zip(*open_segs, strict=True))
+                part, count, start, lot = (np.array(x, np.int64) for x in zip(*open_segs, strict=True))
                 docs = np.array(open_docs)
                 for p, at in _by_part(part, parts):
                     own, place = np.unique(docs[at], return_inverse=True)
                     x = np.empty(len(at), PLACE)
-                    x["doc"], x["count"], x["start"] = place, count[at], start[at]
+                    x["doc"], x["count"], x["start"], x["lot"] = place, count[at], start[at], lot[at]
                     seen, keep = set(), []
                     for i, j in enumerate(at):  # of equal single windows of one text only the first is needed
                         key = (pieces[j], docs[j]) if count[j] == 1 else None
@@ -361,19 +408,23 @@ def _sort_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         return
     id_, tie, place = np.concatenate(ids), np.concatenate(ties), np.concatenate(places)
     text = np.frombuffer(b"".join(raw), np.uint8)
-    size = place["count"].astype(np.int64) - 1 + LENGTH
-    at = np.concatenate([[0], np.cumsum(size)[:-1]])
+    del raw
+    number = _document_numbers(id_, tie)  # in order
     count = place["count"].astype(np.int64)
-    owner = np.repeat(np.arange(len(place)), count)
-    step = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
-    doc, start = place["doc"][owner].astype(np.int64), place["start"][owner] + step
-    order = np.lexsort((start, tie[doc], id_[doc]))  # suffixes in the order of their places
-    suffix = (at[owner] + step)[order]
+    at = np.concatenate([[0], np.cumsum(count - 1 + LENGTH)[:-1]])
     view = np.lib.stride_tricks.sliding_window_view(text, LENGTH)
-    hit = order[repeated_windows(view[suffix])]
-    doc, start = doc[hit], start[hit]
+    found = [(np.zeros(0, np.int64),) * 2]
+    lot = place["lot"] % np.uint32(count.sum() // TOGETHER + 1)
+    for _, own in _groups(lot):  # equal windows are in one lot
+        n = count[own]
+        owner = np.repeat(own, n)
+        step = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+        doc, start = place["doc"][owner].astype(np.int64), place["start"][owner] + step
+        order = np.lexsort((start, number[doc]))  # suffixes in the order of their places
+        hit = order[repeated_windows(view[(at[owner] + step)[order]])]
+        found.append((doc[hit], start[hit]))
+    doc, start = (np.concatenate(x) for x in zip(*found, strict=True))
     rows = []
-    number = _document_numbers(id_, tie)
     for _, own in _groups(number[doc]):
         rows.append((int(id_[doc[own[0]]]), int(tie[doc[own[0]]]), merged(start[own], start[own] + LENGTH).tobytes()))
     cols = list(zip(*rows, strict=True)) if rows else [[]] * 3
@@ -415,9 +466,9 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(int(NULL_ID))).alias("id"), _tie(text).alias("tie"), text.cast("binary").alias("text"))
     dealt = rows.mapInArrow(_deal(2 * parts), DEALT)
-    marks = durable(dealt.repartition(parts, "part").mapInArrow(_meet(hot), MARKS))
-    by_doc = marks.groupBy("id", "tie").agg(F.collect_list("gone").alias("gone"), F.collect_list("open").alias("open"))
-    marked = rows.join(by_doc, ["id", "tie"], "left").select("id", "tie", "text", "gone", "open")
+    met = dealt.repartition(parts, "part").mapInArrow(_meet(2 * parts, hot), SENT)
+    marks = met.repartition(parts, "dest").mapInArrow(_gather, MARKS)
+    marked = rows.join(marks, ["id", "tie"], "left").select("id", "tie", "text", "gone", "open")
     state = durable(marked.mapInArrow(_apply(2 * parts), STATE))
     sent = state.filter("part >= 0").repartition(parts, "part").select("part", "ids", "ties", "places", "bytes")
     found = sent.mapInArrow(_sort_suffixes, "id long, tie long, gone binary").unionByName(state.filter("part = -3").select("id", "tie", "gone"))
