@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from affinis.operators import blocking, decide, evaluate, model, pairs, ranking, records, sampling
+from affinis.sources.shared import stored
 from affinis.sources.sinks import write_submission
 
 CONTEXT_FEATURES = ["src", "score", "fwd_rank", "rev_rank", "s1_best", "n_cands_s1", "r_best", "n_cands_r", "r_second", "s1_gap", "s1_ratio", "r_gap", "r_margin"]
@@ -38,9 +39,15 @@ class Config:
     features: list[str] = field(default_factory=lambda: list(FEATURES))
 
 
+def stored_weights(tokenised: DataFrame, word_cap: int, pair_cap: int) -> DataFrame:
+    """Weighted keys, stored: the cut reads the keys twice and the pair join reads the weights from both sides."""
+    keys = stored(records.record_keys(tokenised), "keys")
+    return stored(blocking.weighted_keys(keys, tokenised, blocking.caps(word_cap, pair_cap)), "weights")
+
+
 def candidates(tokenised: DataFrame, config: Config) -> DataFrame:
     """country, s1, r, src, score and the context columns."""
-    weighted = blocking.weighted_keys(records.record_keys(tokenised), tokenised, blocking.caps(config.word_cap, config.pair_cap))
+    weighted = stored_weights(tokenised, config.word_cap, config.pair_cap)
     found = blocking.candidates(blocking.scored_pairs(weighted), config.k, config.m, config.rev_m)
     return ranking.context_features(found)
 

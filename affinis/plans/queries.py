@@ -11,6 +11,7 @@ from affinis.functions import text as tx
 from affinis.functions.translit import transliterate
 from affinis.operators import blocking, decide, evaluate, pairs, profile, ranking, records
 from affinis.plans import fixtures as fx
+from affinis.plans import linkage
 from affinis.plans.fixtures import ENT, ER, GCOUNT, GOLD, KEYS, LAB, PAIRS, TOK, cand_sql, fold_sql, skeleton_sql, sql, tokens_sql, weights_sql
 from affinis.sources import sinks, tables
 from affinis.sources.shared import shared_path, stored
@@ -42,8 +43,7 @@ def s6(*names: str) -> str:
 
 
 def weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokens = fx.er_tokens(spark, sf_dir)
-    return blocking.weighted_keys(records.record_keys(tokens), tokens, blocking.caps(CAP, CAP))
+    return linkage.stored_weights(fx.er_tokens(spark, sf_dir), CAP, CAP)
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -323,7 +323,7 @@ def reverse_recall(spark, sf_dir):
 
 @query(sql(*SCORED, GOLD, select=f"SELECT country, CASE WHEN coalesce(score, 0) <= 0 THEN 'zero' ELSE 'crowd' END AS kind, count(*) AS n FROM (SELECT DISTINCT g.country, g.s1, g.r, k.score, k.fwd_rank FROM gold g LEFT JOIN rk k ON g.country = k.country AND g.s1 = k.s1 AND g.r = k.r) WHERE coalesce(fwd_rank, 1000000) >= 2 GROUP BY ALL"))
 def miss_kinds(spark, sf_dir):
-    w = stored(weighted(spark, sf_dir), "weighted")
+    w = weighted(spark, sf_dir)
     found = blocking.top_k(blocking.scored_pairs(w), 2).select("country", "s1", "r")
     missed = fx.er_gold(spark, sf_dir).distinct().join(found, ["country", "s1", "r"], "left_anti")
     return evaluate.miss_kinds(blocking.pair_score(missed, w)).groupBy("country", "kind").agg(F.count("*").alias("n"))
