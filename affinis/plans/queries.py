@@ -92,7 +92,7 @@ def scan_tsv_strings(spark, sf_dir):
 def scan_sources(spark, sf_dir):
     folder = shared_path(spark, "split")
     for k in tables.SOURCES:
-        sinks.write_tsv(fx.er_records(spark, sf_dir).filter(F.col("src") == k).select(*tables.RECORD), f"{folder}/train/source{k}.tsv")
+        sinks.write_tsv(fx.er_records(spark, sf_dir).filter(F.col("src") == k).select(*tables.RECORD), f"{folder}/train/train_source{k}.tsv")
     return tables.scan_sources(spark, folder, "train")
 
 

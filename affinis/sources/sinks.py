@@ -46,12 +46,12 @@ def publish(folder: str, path: str, df: DataFrame) -> None:
 
 
 def write_submission(folder: str, s1: DataFrame, candidates: DataFrame, matches: DataFrame) -> None:
-    """candidates.tsv and matches.tsv, one row for each S1 record; refuses matches that are no candidates."""
+    """candidate_pairs.tsv and matching_results.tsv, one row for each S1 record; refuses matches that are no candidates."""
     stray = not_candidates(matches, candidates).limit(5).collect()
     if stray:
         raise ValueError(f"matches that are not candidates: {[tuple(r) for r in stray]}")
-    # The two files' second columns.
-    for name, column, pairs in (("candidates", "candidate_entity_ids", candidates), ("matches", "matched_entity_ids", matches)):
+    # The two files' names and second columns.
+    for name, column, pairs in (("candidate_pairs", "candidate_entity_ids", candidates), ("matching_results", "matched_entity_ids", matches)):
         lists = id_lists(s1, pairs, column)
         parts = f"{folder}/_{name}"
         lists.write.mode("overwrite").options(sep="\t", header=False, quote="", escapeQuotes=False, emptyValue="", nullValue="", lineSep="\n").csv(parts)

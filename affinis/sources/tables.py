@@ -24,7 +24,7 @@ def scan_tsv(spark: SparkSession, path: str, columns: tuple[str, ...] | None = N
 
 def scan_sources(spark: SparkSession, folder: str, split: str) -> DataFrame:
     """The three sources of a split as one table with src; columns beyond RECORD are dropped."""
-    parts = [scan_tsv(spark, f"{folder}/{split}/source{k}.tsv", RECORD).withColumn("src", F.lit(k)) for k in SOURCES]
+    parts = [scan_tsv(spark, f"{folder}/{split}/{split}_source{k}.tsv", RECORD).withColumn("src", F.lit(k)) for k in SOURCES]
     return concat_sources(*parts)
 
 
@@ -42,6 +42,7 @@ def explode_truth(truth: DataFrame) -> DataFrame:
 
 
 def ground_truth(spark: SparkSession, path: str) -> DataFrame:
+    """s1, r of a match list's file, e.g. train/train_ground_truth.tsv."""
     return explode_truth(scan_tsv(spark, path, TRUTH))
 
 

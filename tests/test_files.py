@@ -27,8 +27,8 @@ def test_submission(spark, tmp_path):
     s1 = spark.createDataFrame([("S1-2", 0), ("S1-1", 1), ("S1-3", 2)], "s1 string, position int")
     cands = spark.createDataFrame([("S1-1", "S3-9"), ("S1-1", "S2-1"), ("S1-1", "S2-1"), ("S1-2", "S2-5")], "s1 string, r string")
     sinks.write_submission(str(tmp_path), s1, cands, cands.filter("r = 'S2-1'"))
-    assert (tmp_path / "candidates.tsv").read_text() == "source1_entity_id\tcandidate_entity_ids\nS1-2\tS2-5\nS1-1\tS2-1,S3-9\nS1-3\t\n"
-    assert (tmp_path / "matches.tsv").read_text() == "source1_entity_id\tmatched_entity_ids\nS1-2\t\nS1-1\tS2-1\nS1-3\t\n"
+    assert (tmp_path / "candidate_pairs.tsv").read_text() == "source1_entity_id\tcandidate_entity_ids\nS1-2\tS2-5\nS1-1\tS2-1,S3-9\nS1-3\t\n"
+    assert (tmp_path / "matching_results.tsv").read_text() == "source1_entity_id\tmatched_entity_ids\nS1-2\t\nS1-1\tS2-1\nS1-3\t\n"
     with pytest.raises(ValueError, match="not candidates"):
         sinks.write_submission(str(tmp_path), s1, cands, spark.createDataFrame([("S1-1", "S2-77")], "s1 string, r string"))
 
@@ -82,7 +82,7 @@ def test_training_and_prediction(spark, tmp_path):
         assert metrics.first().macro_f05 > 0.8
         out = linkage.predict(fitted, found, s1.select("s1"), chosen, str(tmp_path), expect=["x"])
         assert out.filter("accepted").groupBy("r").count().filter("count > 1").count() == 0
-        assert len((tmp_path / "matches.tsv").read_text().splitlines()) == 121
+        assert len((tmp_path / "matching_results.tsv").read_text().splitlines()) == 121
         prefix = model.predict_prefix(fitted, found, chosen.features, 5)
         both = prefix.select("s1", "r", F.col("p").alias("q")).join(model.predict(fitted, found, chosen.features), ["s1", "r"])
         assert both.filter(F.abs(F.col("p") - F.col("q")) > 1e-6).count() == 0
