@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import functools
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -50,16 +51,43 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def small_batches(spark: SparkSession, bytes_: str = "16m", rows: int = 4096) -> None:
+def small_batches(spark: SparkSession, bytes_: str = "4m", rows: int = 4096) -> None:
     """Bounds what one Arrow batch holds, for operators that lay out arrays over a batch."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", bytes_)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, after which a worker that goes on to other tasks gives freed memory back to the system."""
+
+    def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the C library on Linux
+            if trim:
+                trim(0)
+
+    return inner
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def even_keys(spark: SparkSession, parts: int) -> list[int]:
+    """For each partition of repartition(parts, key) a key that goes there, so that lots dealt by hand are even.
+
+    One small number a partition; should a partition have no key among those tried, another one's is used.
+    """
+    place = F.pmod(F.hash("id"), F.lit(parts))
+    rows = spark.range(0, 32 * parts, numPartitions=1).groupBy(place.alias("p")).agg(F.min("id").alias("k")).collect()
+    found = {r["p"]: r["k"] for r in rows}
+    spare = min(found.values())
+    return [found.get(p, spare) for p in range(parts)]
+
+
 def ascii_lower(c: Column) -> Column:
     """A-Z become a-z; no other character changes."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"

@@ -1,7 +1,7 @@
 """Connected components of a distributed edge list by alternating large and small stars.
 
-Each step is one aggregation and one join on a node; a node with many edges is only ever aggregated by its
-minimum, and the join is one that adaptive execution can split.  No edge list reaches the driver.
+Each step is one aggregation and one join on a node.  A node with many edges is aggregated by its minimum, map-side
+first; the join reads its edges in one task, 16 bytes an edge.  No edge list reaches the driver.
 """
 
 from __future__ import annotations

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from affinis.llm.common import ascii_lower, durable, ids_back, ids_of, shuffle_parts, small_batches
+from affinis.llm.common import ascii_lower, durable, ids_back, ids_of, lean, shuffle_parts, small_batches
 
 #: Characters of the text in a splitter.
 PREFIX = 48
@@ -108,7 +108,7 @@ def content_sort(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     keyed = norm.select("id", "norm", F.substring("norm", 1, PREFIX).alias("p"), F.xxhash64("norm").alias("h"))
     dealt = keyed.repartitionByRange(n, "p", "h", F.col("id").desc_nulls_last())
     sorted_ = dealt.sortWithinPartitions("p", "h", "norm", F.col("id").desc_nulls_last())
-    rows = durable(sorted_.select("id", "norm").mapInArrow(_runs, SCHEMA))
+    rows = durable(sorted_.select("id", "norm").mapInArrow(lean(_runs), SCHEMA))
     edges = rows.filter(F.col("edge_text").isNotNull())
     groups = edges.groupBy("edge_text").agg(F.max("keep_id").alias("all_keep"), F.sum("group_size").alias("all_size"))
     joined = edges.select("run", "edge_text").join(groups, "edge_text").select("run", "all_keep", "all_size")

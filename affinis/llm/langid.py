@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from affinis.llm.common import crc_of_id, durable, ids_back, ids_of, slices, small_batches, text_bytes
+from affinis.llm.common import crc_of_id, durable, ids_back, ids_of, lean, slices, small_batches, text_bytes
 
 DIMENSIONS, N, SYMBOLS, SEED = 1024, 3, 256, 11
 #: Prototypes are broadcast; languages beyond this are an error, not a cut.
@@ -129,7 +129,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, text_col: str, lang_col: str) -> tuple[list[str], np.ndarray]:
     """Languages in code point order, and the unit prototype of each."""
     rows = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
-    counts = durable(rows.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
+    counts = durable(rows.mapInArrow(lean(_count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
 
     def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -142,7 +142,7 @@ def train(docs: DataFrame, text_col: str, lang_col: str) -> tuple[list[str], np.
         for lang, v in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([lang] * DIMENSIONS), pa.array(np.arange(DIMENSIONS)), pa.array(v)], ["lang", "d", "v"])
 
-    parts = counts.mapInArrow(bundle, "lang string, d long, v double").groupBy("lang", "d").agg(F.sum("v").alias("v"))
+    parts = counts.mapInArrow(lean(bundle), "lang string, d long, v double").groupBy("lang", "d").agg(F.sum("v").alias("v"))
     rows_ = parts.limit(MAX_LANGUAGES * DIMENSIONS + 1).collect()
     langs = sorted({r["lang"] for r in rows_}, key=lambda x: x.encode("utf-32-be"))
     if len(langs) > MAX_LANGUAGES:
@@ -214,7 +214,7 @@ def predict(docs: DataFrame, langs: list[str], prototypes: np.ndarray, id_col: s
     """
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_predict(langs, prototypes), "id long, lang_pred string, score double").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(lean(_predict(langs, prototypes)), "id long, lang_pred string, score double").withColumnRenamed("id", id_col)
 
 
 def held_out(id_: Column) -> Column:

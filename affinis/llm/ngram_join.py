@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from affinis.llm.common import durable, mix64, prefix_sums, range_hashes, shuffle_parts, slices, small_batches, text_bytes, words_of
+from affinis.llm.common import durable, lean, mix64, prefix_sums, range_hashes, shuffle_parts, slices, small_batches, text_bytes, words_of
 from affinis.llm.components import components
 
 N, THRESHOLD, RECALL = 5, 0.8, 0.9995
@@ -197,24 +197,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     small_batches(spark)
     bands, rows = bands_for(threshold, recall)
     base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_hash"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    signed = base.mapInArrow(_signatures(bands, rows, n), "id long, text_hash long, a long, b long, n_words long, bands array<long>")
+    signed = base.mapInArrow(lean(_signatures(bands, rows, n)), "id long, text_hash long, a long, b long, n_words long, bands array<long>")
     signed = durable(signed)
     worded = signed.filter("n_words > 0")
     grouped = worded.groupBy("a", "b").agg(F.min(F.struct("id", "text_hash")).alias("least"), F.count("*").alias("n_copies"), F.first("bands").alias("bands"))
     nodes = durable(grouped.select(F.monotonically_increasing_id().alias("node"), "a", "b", F.col("least.id").alias("rep"), F.col("least.text_hash").alias("rep_hash"), "n_copies", "bands"))
 
     dealt = nodes.select("node", F.posexplode("bands").alias("band", "value"))
-    buckets = dealt.groupBy("band", "value").agg(F.min("node").alias("least"), F.count("*").alias("c")).filter("c > 1").drop("c")
+    # what is summed by a key is stored before it is joined by that key, so that a hot key's rows can be split
+    buckets = durable(dealt.groupBy("band", "value").agg(F.min("node").alias("least"), F.count("*").alias("c")).filter("c > 1").drop("c"))
     star = dealt.join(buckets, ["band", "value"]).filter("node != least").select(F.col("node").alias("u"), F.col("least").alias("v"))
     groups = durable(components(star).withColumnRenamed("root", "group_"))
-    sizes = groups.groupBy("group_").agg(F.count("*").alias("m"))
+    sizes = durable(groups.groupBy("group_").agg(F.count("*").alias("m")))
     placed = groups.join(sizes, "group_").withColumn("k", F.ceil(F.col("m") / TILE).cast("long")).withColumn("tile", F.pmod(F.xxhash64("node"), F.col("k")))
     members = placed.join(nodes.select("node", "rep", "rep_hash"), "node").select("node", "group_", "k", "tile", "rep", "rep_hash")
     texts = members.join(base, (F.col("rep") == F.col("id")) & (F.col("rep_hash") == F.col("text_hash"))).select("node", "group_", "k", "tile", "text")
     tiles = texts.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
     tiles = tiles.select("group_", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "node", "tile", "k", "text")
     by_tile = tiles.repartition(shuffle_parts(spark), "group_", "i", "j").sortWithinPartitions("group_", "i", "j", "node")
-    found = durable(by_tile.mapInArrow(_verify(threshold, n), "node long, links long, root long, tiled boolean"))
+    found = durable(by_tile.mapInArrow(lean(_verify(threshold, n)), "node long, links long, root long, tiled boolean"))
 
     tiled = found.filter("tiled")
     links = found.groupBy("node").agg(F.sum("links").alias("n_links"), F.min("root").alias("root"))
@@ -222,7 +223,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         joined = components(tiled.select(F.col("node").alias("u"), F.col("root").alias("v"))).select(F.col("node").alias("n"), F.col("root").alias("all"))
         links = links.join(joined, F.col("node") == F.col("n"), "left").select("node", "n_links", F.coalesce("all", "root").alias("root"))
     known = durable(nodes.drop("bands").join(links, "node", "left").withColumn("root", F.coalesce("root", "node")))
-    classes = known.groupBy("root").agg(F.min("rep").alias("class_id"))
+    classes = durable(known.groupBy("root").agg(F.min("rep").alias("class_id")))
     named = known.join(classes, "root").select("a", "b", "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "n_copies")
     out = worded.select("id", "a", "b").join(named, ["a", "b"]).select("id", "class_id", "n_links", "n_copies")
     bare = signed.filter("n_words = 0").select("id", F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"))

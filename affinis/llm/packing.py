@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from affinis.llm.common import ids_back, ids_of, slices, small_batches, text_bytes
+from affinis.llm.common import ids_back, ids_of, lean, slices, small_batches, text_bytes
 from affinis.llm.tokens import tokenizer_path, word_encoder
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long"
@@ -157,7 +157,7 @@ def _packed(path: str, end_id: int, limits: Limits):
         for batch in batches:
             ids, share = ids_of(batch.column(0)), batch.column(2).to_numpy(zero_copy_only=False)
             buf, offsets = text_bytes(batch.column(1))
-            for lo, hi in slices(offsets, 1 << 22):
+            for lo, hi in slices(offsets, 1 << 20):
                 tokens, at = encoder.encode(buf[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
                 raw = tokens.astype("<u4").tobytes()
                 for k in range(lo, hi):
@@ -186,5 +186,5 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", loss_s
     small_batches(docs.sparkSession)
     share = F.coalesce(F.col(loss_share_col).cast("double"), F.lit(1.0)) if loss_share_col else F.lit(1.0)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), share.alias("share"))
-    out = rows.mapInArrow(_packed(tokenizer_path(tokenizer_name), end_id, limits), SCHEMA)
+    out = rows.mapInArrow(lean(_packed(tokenizer_path(tokenizer_name), end_id, limits)), SCHEMA)
     return out.withColumnRenamed("doc_id", id_col)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from affinis.llm.common import small_batches
+from affinis.llm.common import lean, small_batches
 
 SPANS = "array<struct<start:int,rank:int,kind:string,end:int>>"
 
@@ -107,7 +107,7 @@ def scan_blobs(versions: DataFrame, text_col: str = "text", ledger: DataFrame |
         done = ledger.select("blob", F.explode("rules").alias("rule")).groupBy("blob").agg(F.collect_set("rule").alias("done"))
         keys = F.array(*[F.lit(r.key) for r in rules])
         todo = blobs.join(done, "blob", "left").filter(F.size(F.array_except(keys, F.coalesce("done", F.array().cast("array<string>")))) > 0)
-    return todo.select("blob", "text", "done").mapInArrow(_scanner(rules), f"blob string, rules array<string>, spans {SPANS}")
+    return todo.select("blob", "text", "done").mapInArrow(lean(_scanner(rules)), f"blob string, rules array<string>, spans {SPANS}")
 
 
 def findings(versions: DataFrame, ledger: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -116,11 +116,9 @@ def findings(versions: DataFrame, ledger: DataFrame, id_col: str = "doc_id", tex
     Only findings of the given rule versions count.  A null text is empty and has no spans; rows with equal ids
     are rows of their own.  Other columns are ignored.
     """
-    keys = [r.key for r in rules]
-    kinds = {r.kind: i for i, r in enumerate(rules)}
-    mine = F.array(*[F.lit(k) for k in keys])
-    hit = ledger.filter(F.size("spans") > 0).filter(F.arrays_overlap("rules", mine)).filter(F.size(F.array_except("rules", mine)) == 0)
-    one = hit.groupBy("blob").agg(F.flatten(F.collect_list("spans")).alias("spans")).withColumn("spans", F.filter("spans", lambda s: s["kind"].isin(list(kinds))))
+    key_of = F.create_map(*[F.lit(x) for r in rules for x in (r.kind, r.key)])
+    mine = ledger.withColumn("spans", F.filter("spans", lambda s: F.array_contains("rules", key_of[s["kind"]]))).filter(F.size("spans") > 0)
+    one = mine.groupBy("blob").agg(F.flatten(F.collect_list("spans")).alias("spans"))
     rows = versions.select(F.col(id_col).cast("long").alias("id"), address(F.col(text_col)).alias("blob"))
     out = rows.join(one, "blob", "left")
     return out.select(F.col("id").alias(id_col), "blob", F.array_sort(F.coalesce("spans", F.array().cast(SPANS))).alias("spans"))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from affinis.llm.common import durable, shuffle_parts, small_batches
+from affinis.llm.common import durable, lean, shuffle_parts, small_batches
 from affinis.llm.tokens import piece_counter, tokenizer, tokenizer_path
 
 CHUNK, OVERLAP = 32_768, 512
@@ -112,15 +112,15 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     path = tokenizer_path(tokenizer_name)
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.octet_length(text).cast("long").alias("n_bytes"))
-    out = rows.filter(F.length("text") <= chunk).mapInArrow(_whole(path), "id long, n_bytes long, n_tokens long")
+    out = rows.filter(F.length("text") <= chunk).mapInArrow(lean(_whole(path)), "id long, n_bytes long, n_tokens long")
     # a row's own number keeps rows with equal ids apart; rows to encode again are known by id and text
     left = rows.filter(F.length("text") > chunk).withColumn("hash", F.xxhash64("text"))
     parts, key = shuffle_parts(spark), "row long, id long, n_bytes long, hash long"
     while True:
         numbered = left.select(F.monotonically_increasing_id().alias("row"), "id", "n_bytes", "hash", "text")
-        cut = numbered.mapInArrow(_cut(chunk, overlap, stable), f"{key}, no long, text string, first long, last long, ends boolean")
+        cut = numbered.mapInArrow(lean(_cut(chunk, overlap, stable)), f"{key}, no long, text string, first long, last long, ends boolean")
         dealt = cut.repartition(parts, "row", "no").drop("no")
-        coded = dealt.mapInArrow(_encode(path), f"{key}, n long, aligned boolean")
+        coded = dealt.mapInArrow(lean(_encode(path)), f"{key}, n long, aligned boolean")
         counted = durable(coded.groupBy("row", "id", "n_bytes", "hash").agg(F.sum("n").alias("n_tokens"), F.bool_and("aligned").alias("aligned")))
         out = out.unionByName(counted.filter("aligned").select("id", "n_bytes", "n_tokens"))
         bad = counted.filter(~F.col("aligned")).select(F.col("id").alias("i"), F.col("hash").alias("h"))

@@ -150,6 +150,8 @@ def test_ledger_is_incremental(spark):
     ran = {r["blob"]: r["rules"] for r in second.collect()}
     new = hashlib.sha256(b"new token: abcdefgh99").hexdigest()
     assert len(ran.pop(new)) == len(secrets.RULES) and all(v == ["hex@1"] for v in ran.values())
+    base = secrets.findings(df, secrets.scan_blobs(df), rules=secrets.BASE_RULES)  # a ledger that has more rules
+    check_secrets(SECRETS, secrets.digest(base).collect())
     whole = secrets.digest(secrets.findings(more, secrets.scan_blobs(more))).collect()
     assert sorted(whole) == sorted(secrets.digest(secrets.findings(more, first.unionByName(second))).collect())
 
