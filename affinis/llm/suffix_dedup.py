@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from affinis.llm.common import HASH_INVERSE, NULL_ID, durable, ids_of, mix64, powers_for, prefix_sums, range_hashes, shuffle_parts, slices, small_batches, text_bytes
+from affinis.llm.common import HASH_INVERSE, NULL_ID, durable, even_keys, ids_of, lean, mix64, powers_for, prefix_sums, range_hashes, shuffle_parts, slices, small_batches, text_bytes
 
 LENGTH, K = 100, 32
 HOT = 4096
@@ -155,12 +155,17 @@ def segments(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
 # --- dealing segments by anchor
 
 
-def _by_part(part: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
+def _by_part(hashes: np.ndarray, keys: list[int]) -> Iterator[tuple[int, np.ndarray]]:
+    """(key, places) for each of the lots that some hashes fall into."""
+    part = (hashes % np.uint64(len(keys))).astype(np.int64)
     order = np.argsort(part, kind="stable")
-    cuts = np.searchsorted(part[order], np.arange(parts + 1))
-    for p in range(parts):
-        if cuts[p] < cuts[p + 1]:
-            yield p, order[cuts[p] : cuts[p + 1]]
+    cuts = np.searchsorted(part[order], np.arange(len(keys) + 1))
+    for p in np.flatnonzero(np.diff(cuts)).tolist():
+        yield keys[p], order[cuts[p] : cuts[p + 1]]
+
+
+def _doc_hash(ids: np.ndarray) -> np.ndarray:
+    return mix64(ids.view(np.uint64) + np.uint64(1))
 
 
 def _starts(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
@@ -179,7 +184,7 @@ SEGMENT = np.dtype([("anchor", "<u4"), ("content", "<u8"), ("start", "<u4"), ("d
 DEALT = "part long, id long, tie long, gone binary, ids binary, ties binary, segments binary"
 
 
-def _deal(parts: int):
+def _deal(keys: list[int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in DEALT.split(", ")]
         for batch in batches:
@@ -203,9 +208,9 @@ def _deal(parts: int):
             out = []
             for d, at in _groups(doc[gone]):
                 own = np.flatnonzero(gone)[at]
-                out.append((int(mix64(ids[d : d + 1].view(np.uint64) + np.uint64(1))[0] % np.uint64(parts)), int(ids[d]), int(ties[d]), merged(start[own], start[own] + count[own] - 1 + LENGTH).tobytes(), None, None, None))
+                out.append((keys[int(_doc_hash(ids[d : d + 1])[0] % np.uint64(len(keys)))], int(ids[d]), int(ties[d]), merged(start[own], start[own] + count[own] - 1 + LENGTH).tobytes(), None, None, None))
             live = np.flatnonzero(~gone & ~((first != np.arange(len(first))) & same))
-            for p, at in _by_part((anchor[live] % np.uint64(parts)).astype(np.int64), parts):
+            for p, at in _by_part(anchor[live], keys):
                 own = live[at]
                 docs, place = np.unique(doc[own], return_inverse=True)
                 seg = np.empty(len(own), SEGMENT)
@@ -233,9 +238,8 @@ MARKS = "id long, tie long, gone array<binary>, open array<binary>"
 SENT = "dest long, ids array<long>, ties array<long>, gone array<binary>, open array<binary>"
 
 
-def _sent(parts: int, ids: np.ndarray, ties: np.ndarray, gone: list, open_: list) -> pa.RecordBatch:
-    dest = (mix64(ids.view(np.uint64) + np.uint64(1)) % np.uint64(parts)).astype(np.int64)
-    rows = list(_by_part(dest, parts))
+def _sent(keys: list[int], ids: np.ndarray, ties: np.ndarray, gone: list, open_: list) -> pa.RecordBatch:
+    rows = list(_by_part(_doc_hash(ids), keys))
     pick = lambda values, kind: pa.array([[values[k] for k in at] for _, at in rows], pa.list_(kind))
     return pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows], pa.int64()), pick(ids.tolist(), pa.int64()), pick(ties.tolist(), pa.int64()), pick(gone, pa.binary()), pick(open_, pa.binary())], ["dest", "ids", "ties", "gone", "open"])
 
@@ -257,7 +261,7 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in own], pa.int64()), pa.array([k[1] for k in own], pa.int64()), *(pa.array([held[k][c] for k in own], pa.list_(pa.binary())) for c in (0, 1))], ["id", "tie", "gone", "open"])
 
 
-def _meet(parts: int, most: int):
+def _meet(lots: list[int], most: int):
     """Segments of some anchors -> for each document what goes, and which segments need the suffix array."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -275,7 +279,7 @@ def _meet(parts: int, most: int):
                 seg_parts.append((seg, seg["doc"].astype(np.int64) + base, seg["anchor"].astype(np.uint64) | np.uint64(part.as_py() << 32)))
                 base += len(id_parts[-1])
             if kept[0]:
-                yield _sent(parts, np.array(kept[0], np.int64), np.array(kept[1], np.int64), kept[2], [None] * len(kept[0]))
+                yield _sent(lots, np.array(kept[0], np.int64), np.array(kept[1], np.int64), kept[2], [None] * len(kept[0]))
         if not seg_parts:
             return
         ids, ties = np.concatenate(id_parts), np.concatenate(tie_parts)
@@ -314,7 +318,7 @@ def _meet(parts: int, most: int):
         keys = np.fromiter(marks, np.int64, len(marks))
         for lo in range(0, len(keys), 20_000):
             own = keys[lo : lo + 20_000]
-            yield _sent(parts, ids[own], ties[own], [marks[k][0] for k in own], [marks[k][1] for k in own])
+            yield _sent(lots, ids[own], ties[own], [marks[k][0] for k in own], [marks[k][1] for k in own])
 
     return run
 
@@ -340,7 +344,7 @@ def _intervals(blobs: list[bytes]) -> np.ndarray:
     return merged(rows[:, 0], rows[:, 1])
 
 
-def _apply(parts: int):
+def _apply(keys: list[int]):
     """Texts with their marks -> finished rows (part -1), open ones (-2), and by part the bytes for its suffix array."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -367,12 +371,12 @@ def _apply(parts: int):
                         piece = raw[b : b + m - 1 + LENGTH]
                         key = hashlib.blake2b(piece.tobytes() if s["hot"] else s["anchor"].tobytes(), digest_size=8).digest()
                         open_docs.append(k)
-                        open_segs.append((int.from_bytes(key[:4], "little") % parts, m, b, int.from_bytes(key[4:], "little")))
+                        open_segs.append((int.from_bytes(key[:4], "little"), m, b, int.from_bytes(key[4:], "little")))
                         pieces.append(piece.tobytes())
             if pieces:
                 part, count, start, lot = (np.array(x, np.int64) for x in zip(*open_segs, strict=True))
                 docs = np.array(open_docs)
-                for p, at in _by_part(part, parts):
+                for p, at in _by_part(part.astype(np.uint64), keys):
                     own, place = np.unique(docs[at], return_inverse=True)
                     x = np.empty(len(at), PLACE)
                     x["doc"], x["count"], x["start"], x["lot"] = place, count[at], start[at], lot[at]
@@ -461,21 +465,22 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot
     LENGTH bytes loses nothing.  An empty table gives an empty result.  Other columns are ignored.
     """
     spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(spark, "16m")  # a segment leaves a batch once
     parts = shuffle_parts(spark)
+    keys = even_keys(spark, parts)
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(int(NULL_ID))).alias("id"), _tie(text).alias("tie"), text.cast("binary").alias("text"))
-    dealt = rows.mapInArrow(_deal(2 * parts), DEALT)
-    met = dealt.repartition(parts, "part").mapInArrow(_meet(2 * parts, hot), SENT)
-    marks = met.repartition(parts, "dest").mapInArrow(_gather, MARKS)
+    dealt = rows.mapInArrow(lean(_deal(keys)), DEALT)
+    met = dealt.repartition(parts, "part").mapInArrow(lean(_meet(keys, hot)), SENT)
+    marks = met.repartition(parts, "dest").mapInArrow(lean(_gather), MARKS)
     marked = rows.join(marks, ["id", "tie"], "left").select("id", "tie", "text", "gone", "open")
-    state = durable(marked.mapInArrow(_apply(2 * parts), STATE))
+    state = durable(marked.mapInArrow(lean(_apply(keys)), STATE))
     sent = state.filter("part >= 0").repartition(parts, "part").select("part", "ids", "ties", "places", "bytes")
-    found = sent.mapInArrow(_sort_suffixes, "id long, tie long, gone binary").unionByName(state.filter("part = -3").select("id", "tie", "gone"))
+    found = sent.mapInArrow(lean(_sort_suffixes), "id long, tie long, gone binary").unionByName(state.filter("part = -3").select("id", "tie", "gone"))
     more = found.groupBy("id", "tie").agg(F.collect_list("gone").alias("more"))
     pending = state.filter("part = -2").select("id", "tie", "text", "gone")
     kinds = "id long, tie long, n_bytes long, n_removed long, n_spans long, sha string"
-    finished = pending.join(more, ["id", "tie"], "left").select("id", "tie", "text", "gone", "more").mapInArrow(_finish, kinds)
+    finished = pending.join(more, ["id", "tie"], "left").select("id", "tie", "text", "gone", "more").mapInArrow(lean(_finish), kinds)
     out = state.filter("part = -1").select("id", "tie", "n_bytes", "n_removed", "n_spans", "sha").unionByName(finished)
     id_ = F.when(F.col("id") != int(NULL_ID), F.col("id"))
     return out.select(id_.alias(id_col), "n_bytes", "n_removed", "n_spans", F.col("sha").alias("kept_sha256"))
