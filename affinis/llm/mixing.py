@@ -3,7 +3,8 @@
 Every source's words are laid out in a seeded order and cut into blocks of equal size.  Sainte-Laguë gives each
 source an integer number of blocks, by highest quotients target / (2k + 1); because the method is house
 monotone, running it to the end of each shard gives integer quotas per shard that add up.  A source's quota is
-filled with whole passes over its blocks and, for the rest, the blocks that a seeded hash ranks first.
+filled with whole passes over its blocks and, for the rest, its first blocks; since the order is seeded, so is the
+choice, and at most one document of a source is taken in part.
 
 Positions come from two levels of sums (hash buckets within a source, then rows within a bucket), so the rows
 of a large source never meet in one task.  Only one row per source reaches the driver, where quotas are made.
@@ -12,8 +13,6 @@ of a large source never meet in one task.  Only one row per source reaches the d
 from __future__ import annotations
 
 import heapq
-import math
-import random
 from dataclasses import dataclass
 from fractions import Fraction
 
@@ -119,9 +118,8 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         blocks = -(-sizes[i] // block)
         quota = min(sum(q[i] for q in per_shard), most * blocks)
         passes, rest = divmod(quota, blocks) if blocks else (0, 0)
-        step, shift = _turn(r["source"], blocks, seed)
-        rows.append((r["source"], sizes[i], targets[i], passes, rest, blocks, step, shift, max(1, int(r["n"]) // ROWS_PER_BUCKET)))
-    plan = spark.createDataFrame(rows, "source string, source_size long, target double, passes long, rest long, blocks long, step long, shift long, buckets long")
+        rows.append((r["source"], sizes[i], targets[i], passes, rest, max(1, int(r["n"]) // ROWS_PER_BUCKET)))
+    plan = spark.createDataFrame(rows, "source string, source_size long, target double, passes long, rest long, buckets long")
     quotas = spark.createDataFrame([(k, r["source"], q[i]) for k, q in enumerate(per_shard) for i, r in enumerate(stats)], "shard int, source string, blocks long")
 
     known = F.broadcast(plan) if len(rows) <= 10_000 else plan  # a row has about 100 bytes, so 1 MB at most
@@ -134,20 +132,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     within = placed.withColumn("within", F.coalesce(F.sum("size").over(inner), F.lit(0)))
     laid = within.join(starts, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b"))).withColumn("start", F.col("before") + F.col("within"))
 
-    # the blocks that a document lies in; block b is one of the chosen when its place in the seeded turn is below rest
-    touched = F.expr(f"filter(sequence(start div {block}, (start + size - 1) div {block}), b -> pmod(b * step + shift, blocks) < rest)")
-    overlap = F.expr(f"aggregate(touched, 0L, (a, b) -> a + least(start + size, (b + 1) * {block}) - greatest(start, b * {block}))")
-    out = laid.withColumn("touched", F.when((F.col("size") > 0) & (F.col("rest") > 0), touched)).withColumn("extra", overlap)
-    taken = F.col("size") * F.col("passes") + F.coalesce("extra", F.lit(0))
-    return Mix(out.select(F.col("id").alias(id_col), "size", "source_size", "target", taken.alias("taken")), quotas)
-
-
-def _turn(source: str | None, blocks: int, seed: int) -> tuple[int, int]:
-    """Step and shift of a permutation b -> (b * step + shift) mod blocks, seeded by the source's name."""
-    if blocks < 2:
-        return 0, 0
-    draw = random.Random(f"{seed}:{source}")
-    while True:
-        step = draw.randrange(1, blocks)
-        if math.gcd(step, blocks) == 1:
-            return step, draw.randrange(blocks)
+    # documents lie in a seeded order, so the first blocks are a seeded choice; all but the document at their end are taken whole
+    extra = F.greatest(F.least(F.col("start") + F.col("size"), F.col("rest") * block) - F.col("start"), F.lit(0))
+    taken = F.col("size") * F.col("passes") + extra
+    return Mix(laid.select(F.col("id").alias(id_col), "size", "source_size", "target", taken.alias("taken")), quotas)

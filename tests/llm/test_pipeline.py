@@ -1,5 +1,6 @@
 """The pipeline against plain Python, stage by stage."""
 
+import random
 from collections import Counter, defaultdict
 
 import corpus_pipeline
@@ -48,6 +49,24 @@ def test_stages(spark, sf):
     assert sum(words.values()) == pytest.approx(sum(targets.values()), rel=0.1)
 
 
+def test_mixing_meets_the_target_of_each_source(spark):
+    rng = random.Random(3)
+    sizes = {"a hot": [int(rng.lognormvariate(5, 1.3)) + 1 for _ in range(1500)], "tiny": [9, 4, 7], None: [30, 1, 12]}
+    sizes |= {f"s{k}": [int(rng.lognormvariate(5, 1.3)) + 1 for _ in range(60)] for k in range(9)}
+    rows = [(i, "w " * n, s, n) for i, (s, n) in enumerate((s, n) for s, own in sizes.items() for n in own)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n long").repartition(5)
+    got = Counter()
+    for r in corpus_pipeline.mixing_stage(spark, docs, "").collect():
+        got[r.source] += r.n
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    targets = mixing.capped_targets([sum(sizes[s]) for s in order], [k % 3 + 1 for k in range(len(order))])
+    assert targets[0] < 0.3 * sum(sizes["a hot"])
+    for s, t in zip(order, targets, strict=True):
+        assert abs(got[s] - t) <= max(sizes[s]) / 2 + 2, (s, got[s], t)
+    big = [(r.n, r.doc_id) for r in corpus_pipeline.mixing_stage(spark, docs, "").filter("source = 'a hot' and n > 300").collect()]
+    assert 0.05 < len(big) / sum(n > 300 for n in sizes["a hot"]) < 0.35
+
+
 def test_run(spark, sf):
     pieces = corpus_pipeline.run(spark, sf).collect()
     docs = {r.doc_id: r for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
