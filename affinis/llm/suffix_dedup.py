@@ -377,6 +377,7 @@ def _apply(keys: list[int]):
                 part, count, start, lot = (np.array(x, np.int64) for x in zip(*open_segs, strict=True))
                 docs = np.array(open_docs)
                 for p, at in _by_part(part.astype(np.uint64), keys):
+                    at = at[np.lexsort((start[at], docs[at]))]  # segments come by anchor
                     own, place = np.unique(docs[at], return_inverse=True)
                     x = np.empty(len(at), PLACE)
                     x["doc"], x["count"], x["start"], x["lot"] = place, count[at], start[at], lot[at]

@@ -61,6 +61,21 @@ def test_made_up_matches(spark, hot):
     same(suffix_dedup.repeats(df, hot=hot), rows)
 
 
+def twice(seed):
+    """The document with the lowest id has one passage twice, in different contexts; others have it once."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdef") for _ in range(rng.randrange(1, 8)))
+    context = lambda: " ".join(word() for _ in range(rng.randrange(10, 30)))
+    passage = "".join(word() + " " for _ in range(60))[: rng.randrange(105, 180)]
+    return [(0, context() + passage + context() + passage + context()), *((i, context() + passage + context()) for i in range(1, 4))]
+
+
+def test_the_earliest_place_stays_on_the_hot_path(spark):
+    rows = [(seed * 10 + i, t) for seed in range(40) for i, t in twice(seed)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    same(suffix_dedup.repeats(df, hot=1), rows)
+
+
 def test_a_long_text_in_pieces():
     rng = np.random.default_rng(1)
     raw = rng.integers(97, 100, 5000).astype(np.uint8)
