@@ -376,7 +376,27 @@ def stacking_oof(spark, sf_dir):
 )
 def link_records(spark, sf_dir):
     """The flagship: each record's best candidates with their ranks, by score, one owner each."""
-    found = candidates(fx.er_tokens(spark, sf_dir), Config(word_cap=300, pair_cap=300))
+    return _linked(spark, sf_dir, Config(word_cap=300, pair_cap=300))
+
+
+def _linked(spark, sf_dir, config):
+    found = candidates(fx.er_tokens(spark, sf_dir), config)
     judged = decide.one_owner(found.withColumn("p", F.col("score")).withColumn("above", F.col("score") >= 0.5))
     ranks = [F.col(c).cast("long").alias(c) for c in ("fwd_rank", "rev_rank")]
     return judged.select("country", "s1", "r", "src", "score", *ranks, "accepted")
+
+
+@query(
+    sql(
+        ER,
+        TOK,
+        KEYS,
+        weights_sql(Config().word_cap, Config().pair_cap),
+        cand_sql(10, 3, 3),
+        "c1 AS (SELECT *, row_number() OVER (PARTITION BY country, s1, src ORDER BY score DESC, r) - 1 AS fwd_rank, row_number() OVER (PARTITION BY country, r ORDER BY score DESC, s1) - 1 AS rev_rank FROM cand)",
+        select="SELECT *, score >= 0.5 AND row_number() OVER (PARTITION BY country, r, score >= 0.5 ORDER BY score DESC, s1) = 1 AS accepted FROM c1",
+    )
+)
+def link_records_production(spark, sf_dir):
+    """link_records with the caps that a run has unless told otherwise."""
+    return _linked(spark, sf_dir, Config())

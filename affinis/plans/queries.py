@@ -21,6 +21,8 @@ QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
 #: A small cap, so that the cut by document frequency does something at the small scale factors.
 CAP, K, M, REV = 100, 10, 3, 3
+#: The caps that a run has unless told otherwise; queries named ..._production have them.
+FULL = linkage.Config().word_cap
 THRESHOLD = 0.7
 
 
@@ -42,12 +44,12 @@ def s6(*names: str) -> str:
     return ", ".join(f"round({n}, 6) AS {n}" for n in names)
 
 
-def weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linkage.stored_weights(fx.er_tokens(spark, sf_dir), CAP, CAP)
+def weighted(spark: SparkSession, sf_dir: str, cap: int = CAP) -> DataFrame:
+    return linkage.stored_weights(fx.er_tokens(spark, sf_dir), cap, cap)
 
 
-def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return blocking.scored_pairs(weighted(spark, sf_dir))
+def scored(spark: SparkSession, sf_dir: str, cap: int = CAP) -> DataFrame:
+    return blocking.scored_pairs(weighted(spark, sf_dir, cap))
 
 
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,6 +67,8 @@ def accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
 W = weights_sql(CAP, CAP)
 SCORED = (ER, TOK, KEYS, W)
 CANDS = (*SCORED, cand_sql(K, M, REV))
+FULL_SCORED = (ER, TOK, KEYS, weights_sql(FULL, FULL))
+FULL_CANDS = (*FULL_SCORED, cand_sql(K, M, REV))
 LABELLED = (ER, GOLD, PAIRS, LAB)
 ACC = f"acc AS (SELECT *, p >= {THRESHOLD} AND row_number() OVER (PARTITION BY country, r, p >= {THRESHOLD} ORDER BY p DESC, s1) = 1 AS accepted FROM lab)"
 F05 = "CASE WHEN n_gold = 0 AND p = 0 THEN 1.0 WHEN h = 0 THEN 0.0 ELSE 1.25 * (h / p) * (h / n_gold) / (0.25 * (h / p) + h / n_gold) END"
@@ -291,8 +295,8 @@ CC = "cc AS (SELECT g.*, coalesce(a.n, 0) AS n_cands, coalesce(a.h, 0) AS h FROM
 CEIL = "CASE WHEN n_gold = 0 THEN 1.0 WHEN h = 0 THEN 0.0 ELSE 1.25 * (h / n_gold) / (0.25 + h / n_gold) END"
 
 
-def _recall(spark, sf_dir):
-    found = blocking.candidates(scored(spark, sf_dir), K, M, REV)
+def _recall(spark, sf_dir, cap=CAP):
+    found = blocking.candidates(scored(spark, sf_dir, cap), K, M, REV)
     return evaluate.blocking_recall(evaluate.label_pairs(found, fx.er_gold(spark, sf_dir)), entities(spark, sf_dir))
 
 
@@ -306,6 +310,34 @@ def ceiling_f05(spark, sf_dir):
     return _recall(spark, sf_dir).select("country", *r6("ceiling_f05"))
 
 
+# --- the same with the caps of a run
+
+
+@query(sql(*FULL_SCORED, select=f"SELECT country, s1, r, src, score, fwd_rank FROM rk WHERE fwd_rank < {K}"))
+def simjoin_topk_production(spark, sf_dir):
+    return blocking.top_k(scored(spark, sf_dir, FULL), K).select("country", "s1", "r", "src", "score", F.col("fwd_rank").cast("long").alias("fwd_rank"))
+
+
+@query(sql(*FULL_SCORED, select=f"SELECT country, s1, r, src, score, fwd_rank < {K} AS is_fwd FROM rk WHERE fwd_rank < {K} OR rev_rank < {REV}"))
+def simjoin_bidirectional_production(spark, sf_dir):
+    return blocking.bidirectional(scored(spark, sf_dir, FULL), K, REV).select("country", "s1", "r", "src", "score", "is_fwd")
+
+
+@query(sql(*FULL_CANDS, select="SELECT * FROM cand"))
+def blocking_candidates_production(spark, sf_dir):
+    return blocking.candidates(scored(spark, sf_dir, FULL), K, M, REV)
+
+
+@query(sql(*FULL_CANDS, GOLD, ENT, GCOUNT, CL, CC, select="SELECT country, round(sum(h) / greatest(sum(n_gold), 1), 6) AS pair_recall, round(sum(n_cands) / count(*), 6) AS cands_per_s1 FROM cc GROUP BY 1"))
+def blocking_recall_production(spark, sf_dir):
+    return _recall(spark, sf_dir, FULL).select("country", *r6("pair_recall", "cands_per_s1"))
+
+
+@query(sql(*FULL_CANDS, GOLD, ENT, GCOUNT, CL, CC, select=f"SELECT country, round(avg({CEIL}), 6) AS ceiling_f05 FROM cc GROUP BY 1"))
+def ceiling_f05_production(spark, sf_dir):
+    return _recall(spark, sf_dir, FULL).select("country", *r6("ceiling_f05"))
+
+
 @query(
     sql(
         *SCORED,
