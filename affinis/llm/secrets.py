@@ -48,10 +48,10 @@ BASE_RULES = (
 )
 ADDED_RULES = (
     Rule("private_key", 1, r"-----BEGIN [A-Z ]{0,32}PRIVATE KEY-----[A-Za-z0-9+/=\s]*(?:-----END [A-Z ]{0,32}PRIVATE KEY-----)?", 0, 0, 0, ("private key-----",)),
-    Rule("github", 1, r"\b(?:gh[pousr]_[A-Za-z0-9]{36,255}|github_pat_[A-Za-z0-9_]{22,255})", 0, 0, 0, ("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_")),
-    Rule("slack", 1, r"\bxox[abprs]-[A-Za-z0-9-]{10,250}", 0, 0, 0, ("xox",)),
+    Rule("github", 2, r"\b(?:gh[pousr]_[A-Za-z0-9]{36,}|github_pat_[A-Za-z0-9_]{22,})", 0, 0, 0, ("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_")),
+    Rule("slack", 2, r"\bxox[abprs]-[A-Za-z0-9-]{10,}", 0, 0, 0, ("xox",)),
     Rule("jwt", 1, r"\beyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 0, 0, ("eyj",)),
-    Rule("url_login", 1, r"\b[a-z][a-z0-9+.-]{1,15}://[^\s/:@]{1,64}:[^\s/:@]{3,64}@", re.ASCII, 0, 0, ("://",)),
+    Rule("url_login", 2, r"\b[a-z][a-z0-9+.-]{1,15}://[^\s/:@]+:[^\s/:@]{3,}@", re.ASCII, 0, 0, ("://",)),
 )
 RULES = BASE_RULES + ADDED_RULES
 

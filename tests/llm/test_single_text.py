@@ -257,3 +257,12 @@ def test_chunks_cover_the_text(text):
     out = list(token_count.chunks(text, 50, 4))
     assert out[0][2] == 0 and out[-1][3] == len(text)
     assert all(a[3] == b[2] and b[0] < b[2] < a[1] for a, b in zip(out, out[1:], strict=False))
+
+
+def test_long_tokens_and_logins_are_found_whole():
+    compiled = {r.key: re.compile(r.pattern, r.flags) for r in secrets.ADDED_RULES}
+    ranks = {r.key: i for i, r in enumerate(secrets.ADDED_RULES)}
+    cases = {"github": "github_pat_" + "a1_" * 200, "slack": "xoxb-" + "a1-" * 200 + "z", "url_login": "https://" + "u" * 90 + ":" + "p" * 93 + "@"}
+    for kind, secret in cases.items():
+        found = secrets.find(f"x {secret} y", secrets.ADDED_RULES, compiled, ranks)
+        assert (2, 2 + len(secret)) in [(f["start"], f["end"]) for f in found if f["kind"] == kind], kind
