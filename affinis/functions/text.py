@@ -1,7 +1,7 @@
 """Tokens, skeletons and small extractions, all in built-in functions.
 
 Spark has no Unicode normalisation, so folding (accents, Indian scripts) is the one step done by an Arrow UDF, and
-only rows that are not ASCII go through it: see fold_columns.
+only texts that are not ASCII go through it: see fold_columns.
 """
 
 from __future__ import annotations
@@ -25,13 +25,9 @@ MERGED = ("cqgbfdwz" + "haeiouy", "kkkpptvs")
 
 
 def fold_columns(df: DataFrame, columns: dict[str, str]) -> DataFrame:
-    """Adds for each new name the folded lower case of a text column; only rows that are not ASCII meet Python."""
-    text = {new: F.coalesce(F.col(old), F.lit("")) for new, old in columns.items()}
-    plain = is_ascii(F.concat(*text.values()))
-    lower = {new: F.lower(c) for new, c in text.items()}
-    ascii_ = df.filter(plain).withColumns(lower)
-    other = df.filter(~plain).withColumns({new: fold(c) for new, c in lower.items()})
-    return ascii_.unionByName(other)
+    """Adds for each new name the folded lower case of a text column; the rows are read once, and Python is given nulls for ASCII ones."""
+    lower = {new: F.lower(F.coalesce(F.col(old), F.lit(""))) for new, old in columns.items()}
+    return df.withColumns({new: F.coalesce(fold(F.when(~is_ascii(c), c)), c) for new, c in lower.items()})
 
 
 def clean_tokens(folded: Column) -> Column:

@@ -77,7 +77,12 @@ def set_features(sided: DataFrame) -> DataFrame:
 
 
 def similarity_features(sided: DataFrame) -> DataFrame:
-    """The similarities that Spark has no function for, on Arrow batches."""
+    """The similarities that Spark has no function for, on Arrow batches.
+
+    They cost far more than the bytes of a pair suggest, so the pairs are dealt over all shuffle partitions first;
+    adaptive execution does not undo a number that is asked for.
+    """
+    sided = sided.repartition(int(sided.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     text = lambda c, by=" ": F.array_join(c, by)
     s1, s2, b1, b2, k1, k2 = (text(c) for c in ("name1", "name2", "addr1", "addr2", "skel1", "skel2"))
     ordered = [text(F.array_sort(c)) for c in ("name1", "name2")]

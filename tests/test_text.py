@@ -1,5 +1,7 @@
 """Text functions and similarities on inputs with known results."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -76,3 +78,14 @@ def test_similarities_of_known_pairs():
     assert sim.token_set_ratio("fuzzy was a bear", "fuzzy fuzzy was a bear") == 100 and sim.token_set_ratio("", "") == 0 and sim.token_set_ratio("a b", "c d") == pytest.approx(200 / 6)
     assert sim.partial_ratio("this is a test", "this is a test!") == 100 and sim.partial_ratio("", "") == 100 and sim.partial_ratio("", "x") == 0
     assert sim.jaro_winkler("martha", "marhta") == pytest.approx(0.9611, abs=1e-4) and sim.jaro_winkler("", "") == 0 and sim.jaro_winkler("dixon", "dicksonx") == pytest.approx(0.8133, abs=1e-4)
+
+
+def test_similarities_of_batches():
+    rng = random.Random(4)
+    word = lambda n: "".join(rng.choice("abcdé ") for _ in range(n))
+    a = [word(rng.choice([0, 1, 3, 20, 64, 65, 130, 200])) for _ in range(150)] + ["same", "", "", "\U0001f600x"]
+    b = [word(rng.choice([0, 1, 3, 20, 64, 65, 130, 200])) for _ in range(150)] + ["same", "", "x", "x"]
+    assert sim.common_lengths(a, b).tolist() == [sim.common_length(x, y) for x, y in zip(a, b)]
+    for many, one in ((sim.ratios, sim.ratio), (sim.token_set_ratios, sim.token_set_ratio), (sim.partial_ratios, sim.partial_ratio), (sim.jaro_winklers, sim.jaro_winkler)):
+        assert many(a, b) == pytest.approx([one(x, y) for x, y in zip(a, b)]), one
+        assert len(many([], [])) == 0
