@@ -1,10 +1,10 @@
 """Mixing sources to target weights by Sainte-Laguë apportionment.
 
-Every source's words are laid out in a seeded order and cut into blocks of equal size.  Sainte-Laguë gives each
-source an integer number of blocks, by highest quotients target / (2k + 1); because the method is house
-monotone, running it to the end of each shard gives integer quotas per shard that add up.  A source's quota is
-filled with whole passes over its blocks and, for the rest, its first blocks; since the order is seeded, so is the
-choice, and at most one document of a source is taken in part.
+Every source's words are laid out in a seeded order, pass after pass, and cut into blocks of equal size.  Sainte-Laguë
+gives each source an integer number of blocks, by highest quotients target / (2k + 1); because the method is house
+monotone, running it to the end of each shard gives integer quotas per shard that add up.  Each shard in turn takes
+its quota of a source's next blocks; since the order is seeded, so is the choice.  A document is thus taken for the
+shards that its blocks fall to, whole but for the one at the end of its source's last block.
 
 Positions come from two levels of sums (hash buckets within a source, then rows within a bucket), so the rows
 of a large source never meet in one task.  Only one row per source reaches the driver, where quotas are made.
@@ -15,6 +15,7 @@ from __future__ import annotations
 import heapq
 from dataclasses import dataclass
 from fractions import Fraction
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,6 +25,8 @@ from affinis.llm.common import WORD_SPACE, durable
 #: Sources are a configured list, so quotas are made on the driver; more than this is an error, not a cut.
 MAX_SOURCES = 200_000
 ROWS_PER_BUCKET = 512
+#: Words of a block, and shards of a mix.
+BLOCK, SHARDS = 8, 16
 
 
 def n_words(text: Column) -> Column:
@@ -52,8 +55,8 @@ def capped_targets(sizes: list[int], weights: list[int], most: int = 3) -> list[
 def sainte_lague(votes: list[float], seats: int) -> list[int]:
     """Seats by highest quotients votes / (2k + 1); ties go to the earlier party.
 
-    Starts from the whole part of each fair share less one, which the method never goes below by more than
-    the later loop corrects, so the number of steps depends on the parties and not on the seats.
+    Starts from the rounded fair shares, gives back the lowest quotients that are too many and hands out the highest
+    that are missing, so the number of steps depends on the parties and not on the seats.
     """
     total = sum(votes)
     if not total or seats <= 0:
@@ -85,54 +88,58 @@ def shard_quotas(votes: list[float], seats: int, shards: int) -> list[list[int]]
 
 @dataclass
 class Mix:
-    """rows: id, size, source_size, target, taken.  quotas: shard, source, blocks."""
+    """rows: id, size, source_size, target, taken, shards, text_hash.  quotas: shard, source, blocks."""
 
     rows: DataFrame
     quotas: DataFrame
 
 
-def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cycle: tuple[int, ...] = (1, 2, 3), block: int | None = None, shards: int = 16, seed: int = 42, most: int = 3) -> Mix:
+def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cycle: tuple[int, ...] = (1, 2, 3), block: int = BLOCK, shards: int = SHARDS, seed: int = 42, most: int = 3) -> Mix:
     """Takes blocks of words from each source until it has its share.
 
     Sources in code point order, null last, weigh as `cycle` repeats.  Targets share the total size and stop at
     `most` times a source's size.  A document's taken words are its overlap with the blocks its source takes,
-    counted as often as they are taken, so never above `most` times its size.  A null text has size 0; a null id
+    counted as often as they are taken, so never above `most` times its size; shards says how many of them each shard
+    has, as shard:words with commas, and text_hash tells rows with one id apart.  A null text has size 0; a null id
     is a row like any other; rows with equal ids and texts are laid out side by side, in either order with the
     same sum.  An empty table gives an empty result.  Other columns are ignored.
     """
     spark = docs.sparkSession
-    sized = durable(docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size")))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    sized = durable(docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size"), F.xxhash64(text).alias("text_hash")))
     stats = sized.groupBy("source").agg(F.sum("size").alias("s"), F.count("*").alias("n")).limit(MAX_SOURCES + 1).collect()
     if len(stats) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
     stats.sort(key=lambda r: (r["source"] is None, (r["source"] or "").encode("utf-32-be")))
     sizes = [int(r["s"]) for r in stats]
     targets = capped_targets(sizes, [cycle[i % len(cycle)] for i in range(len(stats))], most)
-    total = sum(sizes)
-    least = min((t for t in targets if t), default=1.0)
-    block = block or max(1, min(1024, int(least / 64)))
-    seats = round(total / block)
-    per_shard = shard_quotas(targets, seats, shards) if stats else []
+    per_shard = shard_quotas(targets, sum(sizes) // block, shards) if stats else []
     rows = []
     for i, r in enumerate(stats):
-        blocks = -(-sizes[i] // block)
-        quota = min(sum(q[i] for q in per_shard), most * blocks)
-        passes, rest = divmod(quota, blocks) if blocks else (0, 0)
-        rows.append((r["source"], sizes[i], targets[i], passes, rest, max(1, int(r["n"]) // ROWS_PER_BUCKET)))
-    plan = spark.createDataFrame(rows, "source string, source_size long, target double, passes long, rest long, buckets long")
+        ends = [min(block * b, most * sizes[i]) for b in accumulate(q[i] for q in per_shard)]
+        rows.append((r["source"], sizes[i], targets[i], ends, max(1, int(r["n"]) // ROWS_PER_BUCKET)))
+    plan = spark.createDataFrame(rows, "source string, source_size long, target double, ends array<long>, buckets long")
     quotas = spark.createDataFrame([(k, r["source"], q[i]) for k, q in enumerate(per_shard) for i, r in enumerate(stats)], "shard int, source string, blocks long")
 
-    known = F.broadcast(plan) if len(rows) <= 10_000 else plan  # a row has about 100 bytes, so 1 MB at most
-    placed = sized.alias("d").join(known.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source"))).select("id", "size", "d.source", *plan.columns[1:])
-    placed = placed.withColumn("place", F.xxhash64(F.lit(seed), F.coalesce("id", F.lit(-1)))).withColumn("bucket", F.pmod("place", "buckets"))
+    known = F.broadcast(plan) if len(rows) <= 10_000 else plan  # a row has about 300 bytes, so 3 MB at most
+    place = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("id").cast("string"), F.lit(""))).cast("binary"))
+    placed = sized.withColumn("place", place).alias("d").join(known.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source"))).select("id", "size", "text_hash", "place", "d.source", *plan.columns[1:])
+    # buckets are ranges of places, so a source's order is that of its places
+    placed = placed.withColumn("bucket", F.shiftright(F.conv(F.substring("place", 1, 8), 16, 10).cast("long") * F.col("buckets"), 32))
     sums = placed.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
     before = F.sum("words").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
     starts = sums.select(F.col("source").alias("s"), F.col("bucket").alias("b"), F.coalesce(before, F.lit(0)).alias("before"))
-    inner = Window.partitionBy("source", "bucket").orderBy("place", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inner = Window.partitionBy("source", "bucket").orderBy("place", "id", "text_hash").rowsBetween(Window.unboundedPreceding, -1)
     within = placed.withColumn("within", F.coalesce(F.sum("size").over(inner), F.lit(0)))
     laid = within.join(starts, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b"))).withColumn("start", F.col("before") + F.col("within"))
 
-    # documents lie in a seeded order, so the first blocks are a seeded choice; all but the document at their end are taken whole
-    extra = F.greatest(F.least(F.col("start") + F.col("size"), F.col("rest") * block) - F.col("start"), F.lit(0))
-    taken = F.col("size") * F.col("passes") + extra
-    return Mix(laid.select(F.col("id").alias(id_col), "size", "source_size", "target", taken.alias("taken")), quotas)
+    def words(end: Column, k: Column) -> Column:
+        """Of a document, those between the end of the shard before and this end, over all passes."""
+        first = F.when(k > 0, F.get("ends", k - 1)).otherwise(F.lit(0))
+        passes = [F.col("start") + p * F.col("source_size") for p in range(most)]
+        return sum((F.greatest(F.least(at + F.col("size"), end) - F.greatest(at, first), F.lit(0)) for at in passes), F.lit(0)).cast("long")
+
+    by_shard = laid.withColumn("by_shard", F.transform("ends", words))
+    taken = F.aggregate("by_shard", F.lit(0).cast("long"), lambda a, x: a + x)
+    some = F.filter(F.transform("by_shard", lambda x, k: F.when(x > 0, F.concat_ws(":", k.cast("string"), x.cast("string")))), lambda x: x.isNotNull())
+    return Mix(by_shard.select(F.col("id").alias(id_col), "size", "source_size", "target", taken.alias("taken"), F.array_join(some, ",").alias("shards"), "text_hash"), quotas)

@@ -39,4 +39,31 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM f JOIN v ON f.source IS NOT DISTINCT FROM v.source
 """
 
-ORACLE_SQL = {"op5_exact_dedup": OP5, "op7_quality_rules": OP7}
+OP8 = r"""
+WITH d AS (
+  SELECT doc_id, source, CAST(len(list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS BIGINT) AS size FROM documents),
+s AS (SELECT source, sum(size) AS ss, row_number() OVER (ORDER BY source NULLS LAST) AS i FROM d GROUP BY source),
+w AS (SELECT *, (i - 1) % 3 + 1 AS w, 3 * ss AS cap, sum(ss) OVER () AS total FROM s),
+o AS (
+  SELECT *, row_number() OVER (ORDER BY cap / w, i) AS turn, total - coalesce(sum(cap) OVER (ORDER BY cap / w, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS remains,
+    sum(w) OVER (ORDER BY cap / w, i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open_w
+  FROM w),
+f AS (SELECT turn AS first_open, remains, open_w FROM o WHERE remains * w <= cap * open_w ORDER BY turn LIMIT 1),
+t AS (SELECT source, i, ss, cap, total // 8 AS seats, CASE WHEN turn < first_open THEN CAST(cap AS DOUBLE) ELSE CAST(f.remains * w AS DOUBLE) / CAST(f.open_w AS DOUBLE) END AS target FROM o, f),
+q AS (SELECT i, seats, target / (2 * k + 1) AS q FROM (SELECT *, unnest(range(CAST(seats AS BIGINT))) AS k FROM t WHERE target > 0)),
+r AS (SELECT i, seats, row_number() OVER (ORDER BY q DESC, i) AS place FROM q),
+e AS (
+  SELECT t.i, k, least(8 * count(r.place), any_value(cap)) AS e
+  FROM t CROSS JOIN range(16) AS x(k) LEFT JOIN r ON r.i = t.i AND r.place <= t.seats * (k + 1) // 16 GROUP BY t.i, k),
+b AS (SELECT i, k, e, coalesce(lag(e) OVER (PARTITION BY i ORDER BY k), 0) AS before FROM e),
+p AS (
+  SELECT doc_id, size, t.i, ss, target, coalesce(sum(size) OVER (PARTITION BY t.i ORDER BY md5('42:' || coalesce(CAST(doc_id AS VARCHAR), '')), doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+n AS (
+  SELECT doc_id, k, sum(greatest(least(start + pass * ss + size, e) - greatest(start + pass * ss, before), 0)) AS words
+  FROM p JOIN b ON p.i = b.i CROSS JOIN range(3) AS y(pass) GROUP BY doc_id, k),
+g AS (SELECT doc_id, sum(words) AS taken, coalesce(string_agg(k || ':' || words, ',' ORDER BY k) FILTER (words > 0), '') AS shards FROM n GROUP BY doc_id)
+SELECT doc_id, size, CAST(ss AS BIGINT) AS source_size, target, CAST(taken AS BIGINT) AS taken, shards FROM p JOIN g USING (doc_id)
+"""
+
+ORACLE_SQL = {"op5_exact_dedup": OP5, "op7_quality_rules": OP7, "op8_mixing": OP8}

@@ -44,7 +44,7 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix_sources(read_table(spark, sf_dir, "documents")).rows
+    return mixing.mix_sources(read_table(spark, sf_dir, "documents")).rows.drop("text_hash")
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -132,3 +132,21 @@ def test_mixing(spark, sf, nasty, nasty_rows, empty):
     assert sorted(got) == sorted(queries.op8_mixing(spark, sf).collect())
     check_mix(nasty_rows, mixing.mix_sources(nasty).rows.collect())
     assert mixing.mix_sources(empty).rows.count() == 0 and mixing.mix_sources(empty).quotas.count() == 0
+
+
+def test_shards_get_their_quotas(spark):
+    """Blocks go to shards by quota: the words of a source in a shard are its blocks', but where the source ends."""
+    rows = [(i, "w " * (i % 37), f"s{i % 5}" if i % 3 else "hot") for i in range(900)] + [(2000, "w " * 9, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(6)
+    mix = mixing.mix_sources(docs, block=4, shards=5)
+    source = {i: s for i, _, s in rows}
+    words = Counter()
+    for r in mix.rows.collect():
+        parts = dict(map(int, p.split(":")) for p in r.shards.split(",") if p)
+        assert sum(parts.values()) == r.taken and all(parts.values())
+        for k, n in parts.items():
+            words[k, source[r.doc_id]] += n
+    quotas = {(r.shard, r.source): 4 * r.blocks for r in mix.quotas.collect()}
+    assert all(words[key] <= n for key, n in quotas.items()) and sum(quotas.values()) - sum(words.values()) <= 4 * 7
+    for k in range(4):
+        assert all(words[k, s] == quotas[k, s] for s in set(source.values()) if quotas[k, s] and words[k + 1, s])
