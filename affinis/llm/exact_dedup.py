@@ -16,10 +16,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
-from affinis.llm.common import ascii_lower, durable, ids_back, ids_of, lean, shuffle_parts, small_batches
+from affinis.llm.common import ascii_lower, durable, ids_back, ids_of, lean, shuffle_parts, small_batches, stored
 
 #: Characters of the text in a splitter.
 PREFIX = 48
@@ -118,9 +119,72 @@ def content_sort(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return out.select(F.col("id").alias(id_col), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
-def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows that content_sort drops."""
-    kept = content_sort(docs, id_col, text_col).filter("kept").select(F.col(id_col).alias("__kept_id"))
-    return docs.join(kept, docs[id_col].eqNullSafe(F.col("__kept_id")), "left_semi")
+def _first_of_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(row, hash, text) sorted by text -> the first row of each run; edge marks the first and last run of the range."""
+    base, count = TaskContext.get().partitionId() << 32, 0
+    last, held = None, None  # (hash, normalised text) and row of the run that may go on
+
+    def out(rows: pa.Array, edge: bool) -> pa.RecordBatch:
+        nonlocal count
+        n = len(rows)
+        count += n
+        return pa.RecordBatch.from_arrays([rows, pa.array(np.full(n, edge)), pa.array(base + np.arange(count - n, count))], ["row", "edge", "place"])
+
+    for batch in batches:
+        rows, hashes, texts = batch.column(0), batch.column(1).to_numpy(), batch.column(2)
+        first = []
+        for i in range(batch.num_rows):
+            # texts are compared in full where their hashes agree
+            text = None
+            if last is not None and hashes[i] == last[0]:
+                text = _normal(texts[i])
+                if last[1] is None:
+                    last = last[0], _normal(last[2]), None
+                if text == last[1]:
+                    continue
+            last = hashes[i], text, texts[i]
+            first.append(i)
+        if not first:
+            continue
+        own = rows.take(pa.array(first))
+        if held is not None:
+            yield out(held, count == 0)
+        if len(own) > 1:
+            if held is None:
+                yield out(own[:1], True)
+            if len(own) > 1 + (held is None):
+                yield out(own[int(held is None) : -1], False)
+        held = own[-1:]
+    if held is not None:
+        yield out(held, True)
+
+
+_NORMAL = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
+def _normal(text: pa.Scalar) -> bytes:
+    return text.as_buffer().to_pybytes().translate(_NORMAL) if text.is_valid else b""
+
+
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of docs of each group of equal texts, the one with the largest id, with the columns of docs.
+
+    Whole rows travel through the content sort, once, so nothing is joined by id: of rows that share the largest id
+    (whole-row repeats among them) one stays, null ids come after all others, and clashing names do no harm.
+    """
+    spark = docs.sparkSession
+    small_batches(spark)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    norm = ascii_lower(text)
+    keyed = docs.select(row.alias("row"), F.col(id_col).cast("long").alias("id"), F.substring(norm, 1, PREFIX).alias("p"), F.xxhash64(norm).alias("h"))
+    dealt = keyed.repartitionByRange(shuffle_parts(spark), "p", "h", F.col("id").desc_nulls_last())
+    inner = F.coalesce(F.col("row").getField(text_col).cast("string"), F.lit(""))
+    # equal prefix and hash mean equal texts but for collisions, which are kept apart by the text itself
+    sorted_ = dealt.sortWithinPartitions("p", "h", ascii_lower(inner), F.col("id").desc_nulls_last())
+    found = sorted_.select("row", "h", inner.alias("text")).mapInArrow(lean(_first_of_runs), StructType([StructField("row", sorted_.schema["row"].dataType), StructField("edge", BooleanType()), StructField("place", LongType())]))
+    rows = stored(found, "first")
+    # runs that go over a border of ranges: two rows a partition
+    edges = rows.filter("edge").withColumns({"id": F.col("row").getField(id_col).cast("long"), "norm": ascii_lower(F.coalesce(F.col("row").getField(text_col).cast("string"), F.lit("")))})
+    best = edges.withColumn("turn", F.row_number().over(Window.partitionBy("norm").orderBy(F.col("id").desc_nulls_last(), "place"))).filter("turn = 1")
+    return rows.filter("not edge").select("row.*").unionByName(best.select("row.*"))

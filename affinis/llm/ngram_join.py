@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from affinis.llm.common import durable, lean, mix64, prefix_sums, range_hashes, shuffle_parts, slices, small_batches, text_bytes, words_of
@@ -184,19 +184,62 @@ def _verify(threshold: float, n: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, recall: float = RECALL, n: int = N) -> DataFrame:
-    """id, class_id, n_links and n_copies of each row.
+#: Bits of the filter for texts that are needed, a power of two.
+FILTER = 1 << 25
 
-    Two texts are linked when the Jaccard index of their sets of word n-grams is the threshold or more.  A class is
-    a connected group; its id is the smallest document id in it.  n_links counts the different texts (as sequences
-    of words, A-Z as a-z) that a document's text is linked with, n_copies the rows with its sequence, itself
-    included.  A text without words, so a null or empty one, has no n-gram: it is a class of its own with no link.
-    A null id is larger than any other.  Repeated rows are copies.  Other columns are ignored.
-    """
+
+def _places(hashes: np.ndarray) -> np.ndarray:
+    return (mix64(hashes.view(np.uint64)) % np.uint64(FILTER)).astype(np.int64)
+
+
+def _bits(hashes: DataFrame) -> bytes:
+    """A bit for each hash, in a filter of fixed size that is sent to all; 4 MB however many there are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(FILTER, bool)
+        for batch in batches:
+            bits[_places(batch.column(0).to_numpy())] = True
+        parts = np.packbits(bits).reshape(16, -1)
+        some = [k for k in range(16) if parts[k].any()]
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([parts[k].tobytes() for k in some], pa.binary())], ["k", "bits"])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, bits in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                own = np.frombuffer(bits.as_buffer(), np.uint8)
+                held[k] = held[k] | own if k in held else own.copy()
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array([x.tobytes() for x in held.values()], pa.binary())], ["k", "bits"])
+
+    out = np.zeros((16, FILTER // 128), np.uint8)
+    for r in hashes.mapInArrow(lean(run), "k long, bits binary").repartition(16, "k").mapInArrow(lean(merge), "k long, bits binary").collect():
+        out[r["k"]] = np.frombuffer(r["bits"], np.uint8)
+    return out.tobytes()
+
+
+def _maybe(shared):
+    """Rows whose text_hash has its bit: all that are wanted and some that are not, which the join drops."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.frombuffer(shared.value, np.uint8)
+        for batch in batches:
+            at = _places(batch.column(1).to_numpy())
+            yield batch.filter(pa.array((bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 > 0))
+
+    return run
+
+
+def _keys(id_col: str, text_col: str) -> list[Column]:
+    """id (a null one larger than any other) and text_hash of a row."""
+    return [F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_hash")]
+
+
+def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float, recall: float, n: int) -> DataFrame:
+    """id and text_hash of each row, those of its class's first text, n_links and n_copies."""
     spark = docs.sparkSession
     small_batches(spark)
     bands, rows = bands_for(threshold, recall)
-    base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_hash"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    base = docs.select(*_keys(id_col, text_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     signed = base.mapInArrow(lean(_signatures(bands, rows, n)), "id long, text_hash long, a long, b long, n_words long, bands array<long>")
     signed = durable(signed)
     worded = signed.filter("n_words > 0")
@@ -210,8 +253,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     groups = durable(components(star).withColumnRenamed("root", "group_"))
     sizes = durable(groups.groupBy("group_").agg(F.count("*").alias("m")))
     placed = groups.join(sizes, "group_").withColumn("k", F.ceil(F.col("m") / TILE).cast("long")).withColumn("tile", F.pmod(F.xxhash64("node"), F.col("k")))
-    members = placed.join(nodes.select("node", "rep", "rep_hash"), "node").select("node", "group_", "k", "tile", "rep", "rep_hash")
-    texts = members.join(base, (F.col("rep") == F.col("id")) & (F.col("rep_hash") == F.col("text_hash"))).select("node", "group_", "k", "tile", "text")
+    members = durable(placed.join(nodes.select("node", "rep", "rep_hash"), "node").select("node", "group_", "k", "tile", "rep", "rep_hash"))
+    wanted = base.mapInArrow(lean(_maybe(spark.sparkContext.broadcast(_bits(members.select("rep_hash"))))), "id long, text_hash long, text string")
+    texts = members.join(wanted, (F.col("rep") == F.col("id")) & (F.col("rep_hash") == F.col("text_hash"))).select("node", "group_", "k", "tile", "text")
     tiles = texts.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
     tiles = tiles.select("group_", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "node", "tile", "k", "text")
     by_tile = tiles.repartition(shuffle_parts(spark), "group_", "i", "j").sortWithinPartitions("group_", "i", "j", "node")
@@ -223,17 +267,37 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         joined = components(tiled.select(F.col("node").alias("u"), F.col("root").alias("v"))).select(F.col("node").alias("n"), F.col("root").alias("all"))
         links = links.join(joined, F.col("node") == F.col("n"), "left").select("node", "n_links", F.coalesce("all", "root").alias("root"))
     known = durable(nodes.drop("bands").join(links, "node", "left").withColumn("root", F.coalesce("root", "node")))
-    classes = durable(known.groupBy("root").agg(F.min("rep").alias("class_id")))
-    named = known.join(classes, "root").select("a", "b", "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "n_copies")
-    out = worded.select("id", "a", "b").join(named, ["a", "b"]).select("id", "class_id", "n_links", "n_copies")
-    bare = signed.filter("n_words = 0").select("id", F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"))
-    back = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
-    return out.unionByName(bare).select(back("id").alias(id_col), back("class_id").alias("class_id"), "n_links", "n_copies")
+    classes = durable(known.groupBy("root").agg(F.min(F.struct("rep", "rep_hash")).alias("first")))
+    named = known.join(classes, "root").select("a", "b", "first", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "n_copies")
+    out = worded.select("id", "text_hash", "a", "b").join(named, ["a", "b"]).select("id", "text_hash", F.col("first.rep").alias("class_id"), F.col("first.rep_hash").alias("class_hash"), "n_links", "n_copies")
+    bare = signed.filter("n_words = 0").select("id", "text_hash", F.col("id").alias("class_id"), F.col("text_hash").alias("class_hash"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"))
+    return out.unionByName(bare)
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one document of each class, the one with the smallest id."""
-    kept = near_duplicates(docs, id_col, text_col).filter(F.col(id_col).eqNullSafe(F.col("class_id"))).select(F.col(id_col).alias("__kept_id")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(F.col("__kept_id")), "left_semi")
 
 
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, recall: float = RECALL, n: int = N) -> DataFrame:
+    """id, class_id, n_links and n_copies of each row.
+
+    Two texts are linked when the Jaccard index of their sets of word n-grams is the threshold or more.  A class is
+    a connected group; its id is the smallest document id in it.  n_links counts the different texts (as sequences
+    of words, A-Z as a-z) that a document's text is linked with, n_copies the rows with its sequence, itself
+    included.  A text without words, so a null or empty one, has no n-gram: it is a class of its own with no link.
+    A null id is larger than any other.  Repeated rows are copies.  Other columns are ignored.
+    """
+    back = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
+    return _classes(docs, id_col, text_col, threshold, recall, n).select(back("id").alias(id_col), back("class_id").alias("class_id"), "n_links", "n_copies")
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, recall: float = RECALL, n: int = N) -> DataFrame:
+    """One row of docs of each class, the one with the smallest id, with the columns of docs.
+
+    Of rows with equal id and text (whole-row repeats among them) one stays; a null id is larger than any other.  A
+    text without words is a class of its own, so one row of each id that has it stays.  Names of columns may clash with
+    any that are used here: rows travel as one struct.
+    """
+    first = _classes(docs, id_col, text_col, threshold, recall, n).filter("id = class_id and text_hash = class_hash").select("id", "text_hash").distinct()
+    rows = docs.select(*_keys(id_col, text_col), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    one = Window.partitionBy("id", "text_hash").orderBy(F.lit(0))
+    kept = rows.join(first, ["id", "text_hash"], "left_semi").withColumn("turn", F.row_number().over(one)).filter("turn = 1")
+    return kept.select("row.*")

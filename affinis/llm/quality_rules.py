@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from affinis.llm.common import WORD_SPACE, durable
+from affinis.llm.common import WORD_SPACE, durable, stored
 
 MIN_WORDS = 20
 #: Percent of words that may lie in repeated 8-word windows.
@@ -60,9 +60,13 @@ def repeated_words(words: Column) -> Column:
     return F.when(F.size(words) > WINDOW, counted).otherwise(F.lit(0).cast("long"))
 
 
-def measures(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFrame:
+#: Verdicts on more hosts than this are joined by shuffle (a row has about 50 bytes).
+FEW_HOSTS = 100_000
+
+
+def measures(docs: DataFrame, id_col: str, text_col: str, host_col: str, *carried: Column) -> DataFrame:
     """id, host and the counts of each text; a null text has no words."""
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(host_col).cast("string").alias("host"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(host_col).cast("string").alias("host"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *carried)
     split = base.withColumn("words", F.array_remove(F.split("text", WORD_SPACE), ""))
     lines = F.filter(F.split("text", "\n", -1), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
     return split.select(
@@ -74,21 +78,20 @@ def measures(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> Data
         _let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
         _let(lines, F.size).cast("long").alias("n_lines"),
         repeated_words(F.col("words")).alias("n_repeat_words"),
+        *split.columns[3:-1],
     )
 
 
-def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """id, the counts, base_failed, the host's rate and verdict, and kept, for each row of docs.
-
-    A null host is a host of its own.  An empty table gives an empty result.  With one host, or where hosts do
-    not differ more than chance makes them, the prior is as strong as all rows and every host gets the common
-    rate.  Rows with equal ids are judged each by its own text.  Other columns are ignored.
-    """
+def with_failures(measured: DataFrame) -> DataFrame:
+    """Adds base_failed and soft_failed."""
     n, words = F.col("n_words"), F.greatest(F.col("n_words"), F.lit(1))
     soft = (F.col("n_symbols") * 100 > MAX_SYMBOLS * n) | (F.col("n_dup_lines") * 100 > MAX_DUP_LINES * F.col("n_lines")) | ~(F.col("word_chars") / words).between(*WORD_LENGTH)
     base = (n < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * n)
-    rows = durable(measures(docs, id_col, text_col, host_col).withColumn("base_failed", base).withColumn("soft_failed", soft))
+    return measured.withColumn("base_failed", base).withColumn("soft_failed", soft)
 
+
+def host_verdicts(rows: DataFrame) -> DataFrame:
+    """h, host_rate and host_bad from the rows' host, base_failed and soft_failed."""
     hosts = rows.groupBy("host").agg(F.count("*").alias("docs"), F.sum((F.col("base_failed") | F.col("soft_failed")).cast("long")).alias("failed"))
     rate = F.col("failed") / F.col("docs")
     spread = hosts.agg(F.sum("failed").alias("f"), F.sum("docs").alias("d"), F.count("*").alias("k"), F.coalesce(F.var_samp(rate), F.lit(0.0)).alias("v"), F.avg(1 / F.col("docs")).alias("noise"))
@@ -98,7 +101,34 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hos
     prior = spread.select(m.alias("mean"), strength.alias("strength"))
     shrunk = (F.col("failed") + F.col("mean") * F.col("strength")) / (F.col("docs") + F.col("strength"))
     # the prior is one row
-    verdicts = hosts.crossJoin(F.broadcast(prior)).select(F.col("host").alias("h"), shrunk.alias("host_rate"), (shrunk > HOST_RATE).alias("host_bad"))
-    joined = rows.join(verdicts, F.col("host").eqNullSafe(F.col("h")))
+    return hosts.crossJoin(F.broadcast(prior)).select(F.col("host").alias("h"), shrunk.alias("host_rate"), (shrunk > HOST_RATE).alias("host_bad"))
+
+
+def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
+    """id, the counts, base_failed, the host's rate and verdict, and kept, for each row of docs.
+
+    A null host is a host of its own.  An empty table gives an empty result.  With one host, or where hosts do
+    not differ more than chance makes them, the prior is as strong as all rows and every host gets the common
+    rate.  Rows with equal ids are judged each by its own text.  Other columns are ignored.
+    """
+    rows = durable(with_failures(measures(docs, id_col, text_col, host_col)))
+    joined = rows.join(host_verdicts(rows), F.col("host").eqNullSafe(F.col("h")))
     kept = ~F.col("base_failed") & ~(F.col("host_bad") & F.col("soft_failed"))
     return joined.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "soft_failed", F.round("host_rate", 9).alias("host_rate"), "host_bad")
+
+
+def drop_rejected(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
+    """The rows of docs that quality keeps, each judged by its own text and host, with the columns of docs.
+
+    Rows travel with their flags and are not joined by id, so nulls, repeats and clashing names do no harm, and only
+    the hosts' counts are shuffled.
+    """
+    carried = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    flags = with_failures(measures(docs, id_col, text_col, host_col, carried)).select("host", "base_failed", "soft_failed", F.when(~F.col("base_failed"), F.col("row")).alias("row"))
+    rows = stored(flags, "judged")
+    verdicts = durable(host_verdicts(rows))
+    bad = verdicts.filter("host_bad").select("h")
+    bad = F.broadcast(bad) if verdicts.count() <= FEW_HOSTS else bad
+    judged = rows.filter("not base_failed")
+    kept = judged.filter("not soft_failed").unionByName(judged.filter("soft_failed").join(bad, F.col("host").eqNullSafe(F.col("h")), "left_anti"))
+    return kept.select("row.*")
