@@ -26,7 +26,7 @@ from affinis.llm.common import WORD_SPACE, durable
 MAX_SOURCES = 200_000
 ROWS_PER_BUCKET = 512
 #: Words of a block, and shards of a mix.
-BLOCK, SHARDS = 8, 16
+BLOCK, SHARDS = 4, 16
 
 
 def n_words(text: Column) -> Column:

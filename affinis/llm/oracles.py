@@ -49,11 +49,11 @@ o AS (
     sum(w) OVER (ORDER BY cap / w, i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open_w
   FROM w),
 f AS (SELECT turn AS first_open, remains, open_w FROM o WHERE remains * w <= cap * open_w ORDER BY turn LIMIT 1),
-t AS (SELECT source, i, ss, cap, total // 8 AS seats, CASE WHEN turn < first_open THEN CAST(cap AS DOUBLE) ELSE CAST(f.remains * w AS DOUBLE) / CAST(f.open_w AS DOUBLE) END AS target FROM o, f),
+t AS (SELECT source, i, ss, cap, total // 4 AS seats, CASE WHEN turn < first_open THEN CAST(cap AS DOUBLE) ELSE CAST(f.remains * w AS DOUBLE) / CAST(f.open_w AS DOUBLE) END AS target FROM o, f),
 q AS (SELECT i, seats, target / (2 * k + 1) AS q FROM (SELECT *, unnest(range(CAST(seats AS BIGINT))) AS k FROM t WHERE target > 0)),
 r AS (SELECT i, seats, row_number() OVER (ORDER BY q DESC, i) AS place FROM q),
 e AS (
-  SELECT t.i, k, least(8 * count(r.place), any_value(cap)) AS e
+  SELECT t.i, k, least(4 * count(r.place), any_value(cap)) AS e
   FROM t CROSS JOIN range(16) AS x(k) LEFT JOIN r ON r.i = t.i AND r.place <= t.seats * (k + 1) // 16 GROUP BY t.i, k),
 b AS (SELECT i, k, e, coalesce(lag(e) OVER (PARTITION BY i ORDER BY k), 0) AS before FROM e),
 p AS (
