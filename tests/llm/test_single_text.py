@@ -75,19 +75,56 @@ def test_packing_edge_cases(nasty, nasty_rows, empty):
     assert packing.pack(empty).count() == 0
 
 
+def padding_of(lengths):
+    return sum(0 if n & (n - 1) == 0 else 4096 - n for n in lengths)
+
+
 def test_packer_keeps_all_limits():
     lim = packing.Limits(tokens=100, segments=3, loss=40, least_cut=4)
     rng = np.random.default_rng(3)
     packer, total, got = packing.Packer(lim, window=64), 0, []
     for k in range(500):
-        n = int(rng.integers(1, 130))
+        n = int(rng.integers(1, 230))
         total += n
-        got += packer.add(packing.Piece(k, n, 0, bytes(4 * n), float(rng.random())))
+        got += packer.add(packing.Piece(k, n, 0, bytes(4 * n), int(rng.integers(0, n))))
     got += packer.rest()
     assert sum(p.length for s in got for p in s) == total
     for s in got:
         assert sum(p.length for p in s) <= 100 and len(s) <= 3
-        assert sum(p.length * p.loss_share for p in s) <= 40 + 0.5 * len(s)
+        # by counting the ids that bear loss one by one
+        assert sum(sum(p.lead <= i < p.doc_tokens - 1 for i in range(p.start, p.start + p.length)) for p in s) == sum(p.loss for p in s) <= 40
+
+
+@pytest.mark.parametrize(("low", "high"), [(1, 20), (4, 6), (1, 3000), (5000, 20_000), (4090, 4100), (1, 2)])
+@pytest.mark.parametrize("share", [0.0, 0.1, 1.0])
+def test_little_padding_at_any_length(low, high, share):
+    rng = np.random.default_rng(low + high)
+    packer, total, got = packing.Packer(packing.Limits()), 0, []
+    while total < 400_000 and len(got) < 3000:
+        n = int(rng.integers(low, high))
+        total += n
+        got += packer.add(packing.Piece(total, n, 0, bytes(4 * n), int(share * (n - 1))))
+    got += packer.rest()
+    lengths = [sum(p.length for p in s) for s in got]
+    assert sum(lengths) == total and padding_of(lengths) <= 0.01 * total
+
+
+def test_the_loss_limit_binds(spark):
+    """Texts of one line bear loss throughout, so no sequence of them alone is full; first lines fill the gaps."""
+    rows = [(i, "word " * 9000) for i in range(20)] + [(100 + i, "title " * 300 + "\nbody") for i in range(3)]
+    got = packing.pack_documents(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    loss, size = Counter(), Counter()
+    for p in got:
+        loss[p.sequence_id] += p.loss_tokens
+        size[p.sequence_id] += p.length
+    assert max(loss.values()) == 4064 and 4096 in size.values() and padding_of(size.values()) <= 0.01 * sum(size.values())
+
+
+def test_odd_loss_shares(spark):
+    rows = [(i, "some words here", x) for i, x in enumerate([None, float("nan"), -1.0, 0.0, 0.5, 1.0, 7.0])]
+    got = {p.doc_id: p for p in packing.pack(spark.createDataFrame(rows, "doc_id long, text string, share double").coalesce(1), loss_share_col="share").collect()}
+    n = got[0].doc_tokens - 1
+    assert [got[i].loss_tokens for i in range(7)] == [n, n, 0, 0, round(n / 2), n, n]
 
 
 # --- secrets
