@@ -39,6 +39,38 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM f JOIN v ON f.source IS NOT DISTINCT FROM v.source
 """
 
+# spans by kind: (kind, pattern, group whose length counts within all of the pattern in group 1, least length)
+_KINDS = (
+    ("assign", r"([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])[\"'']?\x20*[:=]\x20*[\"'']?([A-Za-z0-9+/_.=-]+)", 3, 8),
+    ("access", "AKIA[A-Z0-9]+", 1, 16),
+    ("hex", "[0-9a-f]+", 1, 32),
+    ("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\x20\x09-\x0D]*(?:-----END [A-Z ]*PRIVATE KEY-----)?", 1, 0),
+    ("github", r"\b(?:gh[pousr]_[A-Za-z0-9]{36,}|github_pat_[A-Za-z0-9_]{22,})", 1, 0),
+    ("slack", r"\bxox[abprs]-[A-Za-z0-9-]{10,}", 1, 0),
+    ("jwt", r"\beyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 1, 0),
+    ("url_login", r"\b[a-z][a-z0-9+.-]+://[^\x20\x09-\x0D/:@]+:[^\x20\x09-\x0D/:@]{3,}@", 1, 0),
+)
+# chr(57344) to chr(57346), which no text has, stand before the group, the match, and what follows it
+_MARKED = "\n  UNION ALL ".join(f"SELECT rid, {k} AS rank, '{kind}' AS kind, {least} AS least, regexp_replace(t, '({pattern})', chr(57344) || '\\{group}' || chr(57345) || '\\1' || chr(57346), 'g') AS marked FROM d" for k, (kind, pattern, group, least) in enumerate(_KINDS))
+
+OP2 = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+m AS ({_MARKED}),
+p AS (SELECT rid, rank, kind, least, unnest(string_split(marked, chr(57344))) AS part, generate_subscripts(string_split(marked, chr(57344)), 1) AS j FROM m),
+l AS (
+  SELECT *, CASE WHEN j = 1 THEN 0 ELSE length(split_part(split_part(part, chr(57345), 2), chr(57346), 1)) END AS found,
+    CASE WHEN j = 1 THEN length(part) ELSE length(split_part(part, chr(57346), 2)) END AS rest
+  FROM p),
+s AS (SELECT *, coalesce(sum(found + rest) OVER (PARTITION BY rid, rank ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM l),
+x AS (SELECT rid, rank, kind, CAST(start AS BIGINT) AS start, CAST(start AS BIGINT) + found AS end_ FROM s WHERE j > 1 AND length(split_part(part, chr(57345), 1)) >= least),
+g AS (
+  SELECT rid, string_agg(kind || ':' || start || ':' || end_, ',' ORDER BY start, rank) AS spans, string_agg(kind || ':' || start || ':' || end_, ',' ORDER BY start, rank) FILTER (rank < 3) AS base,
+    count(*) FILTER (rank = 0) AS n_assign, count(*) FILTER (rank = 1) AS n_access, count(*) FILTER (rank = 2) AS n_hex
+  FROM x GROUP BY rid)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN g USING (rid)
+"""
+
 OP8 = r"""
 WITH d AS (
   SELECT doc_id, source, CAST(len(list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS BIGINT) AS size FROM documents),
@@ -66,4 +98,4 @@ g AS (SELECT doc_id, sum(words) AS taken, coalesce(string_agg(k || ':' || words,
 SELECT doc_id, size, CAST(ss AS BIGINT) AS source_size, target, CAST(taken AS BIGINT) AS taken, shards FROM p JOIN g USING (doc_id)
 """
 
-ORACLE_SQL = {"op5_exact_dedup": OP5, "op7_quality_rules": OP7, "op8_mixing": OP8}
+ORACLE_SQL = {"op2_secret_scan": OP2, "op5_exact_dedup": OP5, "op7_quality_rules": OP7, "op8_mixing": OP8}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from affinis.llm import exact_dedup, langid, lm_score, mixing, ngram_join, packing, quality_rules, secrets, suffix_dedup, token_count
-from affinis.llm.common import durable, read_table
+from affinis.llm.common import read_table
 from affinis.llm.oracles import ORACLE_SQL as ORACLE_SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,7 +19,7 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
-    ledger = durable(secrets.scan_blobs(docs))
+    ledger = secrets.update_ledger(docs, secrets.ledger_folder(spark))
     return secrets.digest(secrets.findings(docs, ledger))
 
 

@@ -12,10 +12,10 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from affinis.llm.common import lean, small_batches
+from affinis.llm.common import lean, shared_folder, small_batches
 
 SPANS = "array<struct<start:int,rank:int,kind:string,end:int>>"
 
@@ -47,11 +47,11 @@ BASE_RULES = (
     Rule("hex", 1, r"[0-9a-f]{32,}", 0, 0, 32),
 )
 ADDED_RULES = (
-    Rule("private_key", 1, r"-----BEGIN [A-Z ]{0,32}PRIVATE KEY-----[A-Za-z0-9+/=\s]*(?:-----END [A-Z ]{0,32}PRIVATE KEY-----)?", 0, 0, 0, ("private key-----",)),
-    Rule("github", 2, r"\b(?:gh[pousr]_[A-Za-z0-9]{36,}|github_pat_[A-Za-z0-9_]{22,})", 0, 0, 0, ("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_")),
-    Rule("slack", 2, r"\bxox[abprs]-[A-Za-z0-9-]{10,}", 0, 0, 0, ("xox",)),
-    Rule("jwt", 1, r"\beyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 0, 0, ("eyj",)),
-    Rule("url_login", 2, r"\b[a-z][a-z0-9+.-]{1,15}://[^\s/:@]+:[^\s/:@]{3,}@", re.ASCII, 0, 0, ("://",)),
+    Rule("private_key", 2, r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\x20\x09-\x0D]*(?:-----END [A-Z ]*PRIVATE KEY-----)?", re.ASCII, 0, 0, ("private key-----",)),
+    Rule("github", 3, r"\b(?:gh[pousr]_[A-Za-z0-9]{36,}|github_pat_[A-Za-z0-9_]{22,})", re.ASCII, 0, 0, ("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_")),
+    Rule("slack", 3, r"\bxox[abprs]-[A-Za-z0-9-]{10,}", re.ASCII, 0, 0, ("xox",)),
+    Rule("jwt", 2, r"\beyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", re.ASCII, 0, 0, ("eyj",)),
+    Rule("url_login", 3, r"\b[a-z][a-z0-9+.-]+://[^\x20\x09-\x0D/:@]+:[^\x20\x09-\x0D/:@]{3,}@", re.ASCII, 0, 0, ("://",)),
 )
 RULES = BASE_RULES + ADDED_RULES
 
@@ -110,6 +110,32 @@ def scan_blobs(versions: DataFrame, text_col: str = "text", ledger: DataFrame |
     return todo.select("blob", "text", "done").mapInArrow(lean(_scanner(rules)), f"blob string, rules array<string>, spans {SPANS}")
 
 
+def ledger_folder(spark: SparkSession) -> str:
+    """Where the ledger is kept: the setting spark.affinis.secrets.ledger, else a folder of this application in the shared one."""
+    return spark.conf.get("spark.affinis.secrets.ledger", None) or f"{shared_folder(spark)}/secret-ledger-{spark.sparkContext.applicationId}"
+
+
+LEDGER = f"blob string, rules array<string>, spans {SPANS}"
+
+
+def read_ledger(spark: SparkSession, folder: str) -> DataFrame | None:
+    """The ledger's rows, none before its first scan."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    there = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+    return spark.read.schema(LEDGER).parquet(folder) if there else None
+
+
+def update_ledger(versions: DataFrame, folder: str, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """Scans the unseen pairs of blob and rule version, adds what was found to the ledger, and gives the ledger back.
+
+    Each row of a ledger holds by itself, so one that a lost job wrote in part is used as far as it goes, and pairs that
+    two jobs scanned at once do no harm.
+    """
+    spark = versions.sparkSession
+    scan_blobs(versions, text_col, read_ledger(spark, folder), rules).write.mode("append").parquet(folder)
+    return read_ledger(spark, folder)
+
+
 def findings(versions: DataFrame, ledger: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Each row's id, blob and spans (an empty list where nothing is found), from a ledger that has all its blobs.
 
@@ -118,7 +144,7 @@ def findings(versions: DataFrame, ledger: DataFrame, id_col: str = "doc_id", tex
     """
     key_of = F.create_map(*[F.lit(x) for r in rules for x in (r.kind, r.key)])
     mine = ledger.withColumn("spans", F.filter("spans", lambda s: F.array_contains("rules", key_of[s["kind"]]))).filter(F.size("spans") > 0)
-    one = mine.groupBy("blob").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    one = mine.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"))
     rows = versions.select(F.col(id_col).cast("long").alias("id"), address(F.col(text_col)).alias("blob"))
     out = rows.join(one, "blob", "left")
     return out.select(F.col("id").alias(id_col), "blob", F.array_sort(F.coalesce("spans", F.array().cast(SPANS))).alias("spans"))

@@ -8,8 +8,10 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from affinis.llm import langid, packing, queries, secrets, token_count
@@ -193,6 +195,42 @@ def test_ledger_is_incremental(spark):
     assert sorted(whole) == sorted(secrets.digest(secrets.findings(more, first.unionByName(second))).collect())
 
 
+def test_the_query_keeps_its_ledger(spark, sf, tmp_path, monkeypatch):
+    """A second run of the query scans nothing, and gives the same rows."""
+    monkeypatch.setattr(secrets, "ledger_folder", lambda _: str(tmp_path / "ledger"))
+    first = sorted(queries.op2_secret_scan(spark, sf).collect())
+    rows = secrets.read_ledger(spark, str(tmp_path / "ledger")).count()
+    assert rows == docs_of(spark, sf).select(secrets.address(F.col("text"))).distinct().count()
+    assert secrets.scan_blobs(docs_of(spark, sf), ledger=secrets.read_ledger(spark, str(tmp_path / "ledger"))).count() == 0
+    assert sorted(queries.op2_secret_scan(spark, sf).collect()) == first
+    assert secrets.read_ledger(spark, str(tmp_path / "ledger")).count() == rows
+    # a table with other versions adds only those
+    more = spark.createDataFrame([(1, "password: abcdefgh12"), (2, docs_of(spark, sf).first().text)], "doc_id long, text string")
+    assert secrets.update_ledger(more, str(tmp_path / "ledger")).count() == rows + 1
+
+
+def test_added_rules_have_no_upper_limits(spark):
+    key = "x" * 300
+    texts = [f"ghp_{key}", f"xoxb-{key}", f"{'s' * 40}://{key}:{key}@host", f"-----BEGIN {'A ' * 60}PRIVATE KEY-----\n{key}"]
+    rows = secrets.findings(*(lambda df: (df, secrets.scan_blobs(df)))(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))).collect()
+    for r in rows:
+        wanted = texts[r.doc_id]
+        assert [(s["start"], s["end"]) for s in r.spans] == [(0, len(wanted) - 4 * (r.doc_id == 2))], wanted
+
+
+def test_oracle_of_secrets(spark, nasty_rows):
+    import duckdb
+
+    from affinis.llm.oracles import OP2
+
+    rows = [*SECRETS, *[(i, t) for i, t, *_ in nasty_rows]]
+    documents = pa.table({"doc_id": pa.array([r[0] for r in rows], pa.int64()), "text": pa.array([r[1] for r in rows], pa.string())})  # noqa: F841
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = secrets.digest(secrets.findings(df, secrets.scan_blobs(df)))
+    want = duckdb.sql(f"SELECT {', '.join(got.columns)} FROM ({OP2})").fetchall()
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+
+
 # --- language
 
 
