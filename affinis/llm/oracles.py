@@ -98,4 +98,22 @@ g AS (SELECT doc_id, sum(words) AS taken, coalesce(string_agg(k || ':' || words,
 SELECT doc_id, size, CAST(ss AS BIGINT) AS source_size, target, CAST(taken AS BIGINT) AS taken, shards FROM p JOIN g USING (doc_id)
 """
 
-ORACLE_SQL = {"op2_secret_scan": OP2, "op5_exact_dedup": OP5, "op7_quality_rules": OP7, "op8_mixing": OP8}
+# every window of 100 bytes, by content in the order of its places
+OP9 = """
+WITH d AS (SELECT row_number() OVER (ORDER BY doc_id) AS rid, doc_id, encode(coalesce(text, '')) AS b, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n FROM documents),
+p AS (SELECT rid, b, unnest(range(n - 99)) AS place FROM d WHERE n >= 100),
+x AS MATERIALIZED (SELECT rid, place, md5_number(b[place + 1 : place + 100]) AS x FROM p),
+w AS (SELECT rid, place, row_number() OVER (PARTITION BY x ORDER BY rid, place) > 1 AS again FROM x),
+h AS (SELECT rid, place, coalesce(place > lag(place) OVER (PARTITION BY rid ORDER BY place) + 100, true) AS fresh FROM w WHERE again),
+s AS (SELECT rid, place, sum(CAST(fresh AS INT)) OVER (PARTITION BY rid ORDER BY place) AS span FROM h),
+r AS (SELECT rid, min(place) AS a, max(place) + 100 AS z FROM s GROUP BY rid, span),
+k AS (SELECT rid, a, z, coalesce(lag(z) OVER (PARTITION BY rid ORDER BY a), 0) AS before FROM r),
+g AS (
+  SELECT rid, CAST(sum(z - a) AS BIGINT) AS n_removed, count(*) AS n_spans, string_agg(hex(b[before + 1 : a]), '' ORDER BY a) AS kept, max(z) AS tail
+  FROM k JOIN d USING (rid) GROUP BY rid)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(CASE WHEN kept IS NULL THEN b ELSE unhex(kept || hex(b[tail + 1 : n])) END) AS kept_sha256
+FROM d LEFT JOIN g USING (rid)
+"""
+
+ORACLE_SQL = {"op2_secret_scan": OP2, "op5_exact_dedup": OP5, "op7_quality_rules": OP7, "op8_mixing": OP8, "op9_suffix_dedup": OP9}

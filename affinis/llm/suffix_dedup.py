@@ -2,8 +2,7 @@
 
 A byte goes when it is covered by a string of LENGTH bytes that also starts earlier.  Where the longest previous
 factor of a position is LENGTH or more, the LENGTH bytes from there go.  In suffix order the factor is found at the
-previous or next position that is smaller; cut at LENGTH bytes, a position has one exactly when it is not the
-smallest of the run of suffixes that share LENGTH bytes with it.
+previous or next position that is smaller (repeated_windows).
 
 The suffixes of all texts don't fit one array, so they are dealt by content.  Every window of LENGTH bytes has an
 anchor, its K-gram with the least hash, and equal windows have equal anchors.  Neighbouring windows with one anchor
@@ -46,61 +45,38 @@ _PLACE = np.uint64((1 << 24) - 1)
 # --- arrays of one text
 
 
-def suffix_array(text: bytes) -> np.ndarray:
-    """Starts of the suffixes in order, by prefix doubling."""
-    n = len(text)
-    rank = np.frombuffer(text, np.uint8).astype(np.int64) + 1
-    width = 1
-    while True:
-        nxt = np.zeros(n, np.int64)
-        nxt[: max(n - width, 0)] = rank[width:]
-        _, rank = np.unique(rank * (n + 257) + nxt, return_inverse=True)
-        rank += 1
-        if width >= n or (n and rank.max() == n):
-            return np.argsort(rank)
-        width *= 2
-
+def smaller_before(values: np.ndarray) -> np.ndarray:
+    """For each place the last place before it with a smaller value; -1 if there is none.
 
-def longest_previous_factors(text: bytes) -> np.ndarray:
-    """For each position the length of the longest string from there that also starts earlier (overlaps count)."""
-    n, order = len(text), suffix_array(text)
-    out = np.zeros(n, np.int64)
-    before, after = {}, {}
-    for found, places in ((before, order), (after, order[::-1])):
-        stack: list[int] = []
-        for p in map(int, places):  # the smaller position that comes last in this direction
-            while stack and stack[-1] > p:
-                stack.pop()
-            found[p] = stack[-1] if stack else -1
-            stack.append(p)
-    b, a = 0, 0
-    for p in range(n):  # a factor is at most one shorter than that of the position before
-        b, a = max(b - 1, 0), max(a - 1, 0)
-        for which in (0, 1):
-            q, m = (before[p], b) if which == 0 else (after[p], a)
-            if q < 0:
-                m = 0
-            else:
-                m = min(m, n - p) if text[q : q + m] == text[p : p + m] else 0
-                while p + m < n and text[q + m] == text[p + m]:
-                    m += 1
-            b, a = (m, a) if which == 0 else (b, m)
-        out[p] = max(b, a)
+    All places look one to the left; those that see a larger value go on to where that one looks, all values between
+    being larger still, until nothing moves.
+    """
+    out = np.arange(len(values)) - 1
+    todo = np.flatnonzero(out >= 0)
+    while len(todo):
+        todo = todo[values[out[todo]] > values[todo]]
+        out[todo] = out[out[todo]]
+        todo = todo[out[todo] >= 0]
     return out
 
 
 def repeated_windows(windows: np.ndarray) -> np.ndarray:
     """Which rows of bytes, given in the order of their places, also occur at an earlier place.
 
-    Sorts the suffixes by their first LENGTH bytes, places in order among equals; all but the first of a run have a
-    smaller position next to them whose common prefix has LENGTH bytes.
+    The windows are suffixes cut at their LENGTH bytes, so their longest previous factors are cut there as well.  In
+    suffix order a place's factor is shared with its previous or next smaller place; it has all the bytes when one of
+    these two windows is the same.
     """
     n, size = windows.shape
     keys = np.ascontiguousarray(windows).view(f"S{size}").ravel()
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     ranked = keys[order]
+    before = smaller_before(order)
+    after = n - 1 - smaller_before(order[::-1])[::-1]
     out = np.zeros(n, bool)
-    out[order[1:]] = ranked[1:] == ranked[:-1]
+    for neighbour, real in ((before, before >= 0), (after, after < n)):
+        here = np.flatnonzero(real)
+        out[order[here]] |= ranked[neighbour[here]] == ranked[here]
     return out
 
 

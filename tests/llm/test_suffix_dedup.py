@@ -96,16 +96,37 @@ def test_equal_windows_have_equal_anchors():
     assert (anchors[0] == anchors[1]).all() and (anchors[0] == anchors[2]).all()
 
 
-@pytest.mark.parametrize("text", [b"", b"a", b"aaaaaaaa", b"abracadabra abracadabra", b"banana", bytes(random.Random(1).choices(b"ab", k=200))])
-def test_longest_previous_factors(text):
-    got = suffix_dedup.longest_previous_factors(text)
-    for p in range(len(text)):
-        want = max((n for n in range(len(text) - p + 1) if text.find(text[p : p + n]) < p and n), default=0)
-        assert got[p] == want
-    for length in (1, 3, 5):
+def test_smaller_before():
+    rng = np.random.default_rng(6)
+    for values in (np.zeros(0, np.int64), np.arange(9), np.arange(9)[::-1], *(rng.permutation(n) for n in (1, 2, 50, 3000))):
+        want, stack = [], []
+        for i, v in enumerate(values):
+            while stack and values[stack[-1]] > v:
+                stack.pop()
+            want.append(stack[-1] if stack else -1)
+            stack.append(i)
+        assert suffix_dedup.smaller_before(values).tolist() == want
+
+
+@pytest.mark.parametrize("text", [b"aaaaaaaa", b"abracadabra abracadabra", b"banana", bytes(random.Random(1).choices(b"ab", k=200)), bytes(random.Random(2).choices(b"a\0", k=200))])
+def test_repeated_windows(text):
+    factor = [max((n for n in range(len(text) - p + 1) if text.find(text[p : p + n]) < p and n), default=0) for p in range(len(text))]
+    for length in (1, 3, 5, 8):
         if len(text) >= length:
             windows = np.lib.stride_tricks.sliding_window_view(np.frombuffer(text, np.uint8), length)
-            assert (suffix_dedup.repeated_windows(windows) == (got[: len(windows)] >= length)).all()
+            assert suffix_dedup.repeated_windows(windows).tolist() == [f >= length for f in factor[: len(windows)]]
+
+
+def test_oracle_on_made_up_matches(spark):
+    import duckdb
+    import pyarrow as pa
+
+    from affinis.llm.oracles import OP9
+
+    rows = [*made(3), (1000, None), (1001, ""), (1002, "z" * 99)]
+    documents = pa.table({"doc_id": [r[0] for r in rows], "text": [r[1] for r in rows]})  # noqa: F841
+    got = suffix_dedup.repeats(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(tuple, got.collect())) == sorted(duckdb.sql(f"SELECT {', '.join(got.columns)} FROM ({OP9})").fetchall())
 
 
 def test_merged():
