@@ -6,8 +6,8 @@ vectors of all its n-grams, a language those of all its training documents, and
 whose prototype has the largest cosine with it.
 
 Bundling is linear, so training gathers n-gram counts per language, summed map-side first, and each prototype is
-made of the sums.  The table of counts is bounded by the symbols (a letter is one of SYMBOLS by its code point),
-the prototypes by languages times dimensions.
+made of the sums, which are whole numbers and so the same in any order.  Counts are dealt over the cluster; what
+reaches the driver is one vector a language.
 """
 
 from __future__ import annotations
@@ -20,44 +20,45 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from affinis.llm.common import crc_of_id, durable, ids_back, ids_of, lean, slices, small_batches, text_bytes
+from affinis.llm.common import crc_of_id, durable, ids_back, ids_of, lean, mix64, shuffle_parts, slices, small_batches, text_bytes
 
-DIMENSIONS, N, SYMBOLS, SEED = 1024, 3, 256, 11
+DIMENSIONS, N, SEED = 1024, 3, 11
+#: Bits of a code point; an n-gram is a number of N of them, first letter highest.
+POINT = 21
 #: Prototypes are broadcast; languages beyond this are an error, not a cut.
 MAX_LANGUAGES = 2_000
 
 
 @functools.cache
-def symbol_table() -> np.ndarray:
-    """Code point -> symbol: 0 for all but letters, else 1 to SYMBOLS - 1; a letter and its capital are one."""
-    out = np.zeros(0x110000, np.uint8)
+def letters() -> np.ndarray:
+    """Code point -> letter: 0 for all but letters, else the code point of its small letter."""
+    out = np.zeros(0x110000, np.int32)
     for c in range(0x110000):
-        if 0xD800 <= c < 0xE000:
-            continue
         ch = chr(c)
         if ch.isalpha():
-            low = ord(ch.lower()[0])
-            out[c] = low % (SYMBOLS - 1) + 1
+            out[c] = ord(ch.lower()[0])
     return out
 
 
-@functools.cache
-def letter_vectors() -> np.ndarray:
-    """One row a symbol; the blank between words has a vector as well."""
-    return np.random.default_rng(SEED).choice(np.array([-1, 1], np.int8), (SYMBOLS, DIMENSIONS))
+def letter_vectors(points: np.ndarray) -> np.ndarray:
+    """One row of +1 and -1 a letter, drawn from its code point; the blank between words, 0, has a vector as well."""
+    words = np.arange(DIMENSIONS // 64, dtype=np.uint64) + np.uint64(SEED << 32)
+    bits = mix64(mix64(points.astype(np.uint64) + np.uint64(1))[:, None] ^ mix64(words)[None, :])
+    return np.unpackbits(bits.astype("<u8").view(np.uint8), axis=1).astype(np.int8) * np.int8(2) - np.int8(1)
 
 
 def gram_vectors(grams: np.ndarray) -> np.ndarray:
-    """Bound vectors of n-grams given as numbers in base SYMBOLS, first letter highest."""
-    base, out = letter_vectors(), np.ones((len(grams), DIMENSIONS), np.int8)
+    """Bound vectors of n-grams."""
+    points = np.stack([grams >> (POINT * (N - 1 - place)) & ((1 << POINT) - 1) for place in range(N)])
+    known, at = np.unique(points, return_inverse=True)
+    base, at, out = letter_vectors(known), at.reshape(points.shape), np.ones((len(grams), DIMENSIONS), np.int8)
     for place in range(N):
-        symbol = (grams // SYMBOLS ** (N - 1 - place)) % SYMBOLS
-        out *= np.roll(base, N - 1 - place, axis=1)[symbol]
+        out *= np.roll(base, N - 1 - place, axis=1)[at[place]]
     return out
 
 
 def symbols_of(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols of all texts, runs of other characters as one blank, a blank at each end; and their offsets."""
+    """Letters of all texts, runs of other characters as one blank, a blank at each end; and their offsets."""
     lead = np.flatnonzero((buf & 0xC0) != 0x80)  # first byte of each character
     b0 = buf[lead].astype(np.int64)
     cp = b0.copy()
@@ -68,11 +69,11 @@ def symbols_of(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
             for k in range(1, size):
                 v = v << 6 | (buf[lead[at] + k] & 0x3F)
             cp[at] = v
-    symbols = symbol_table()[cp]
+    symbols = letters()[cp]
     starts = np.searchsorted(lead, offsets)
     n = len(offsets) - 1
     # a blank before each text and one after the last
-    out = np.zeros(len(symbols) + n + 1, np.uint8)
+    out = np.zeros(len(symbols) + n + 1, np.int32)
     out[np.arange(len(symbols)) + np.repeat(np.arange(1, n + 1), np.diff(starts))] = symbols
     first = starts[:-1] + np.arange(n)
     keep = np.ones(len(out), bool)
@@ -88,15 +89,29 @@ def gram_counts(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     n = len(at) - 1
     if len(symbols) < N:
         return (np.zeros(0, np.int64),) * 3
+    # the letters met here are numbered, so that a text and an n-gram fit one number
+    met = np.zeros(0x110000, bool)
+    met[symbols] = True
+    met[0] = True
+    points = np.flatnonzero(met)
+    number = np.cumsum(met) - 1
+    symbols, many = number[symbols], len(points)
+    if many**N > (1 << 62) // max(n, 1):  # more letters than any real slice has
+        parts = [gram_counts(buf[offsets[k] : offsets[k + 1]], offsets[k : k + 2] - offsets[k]) for k in range(n)] if n > 1 else []
+        if parts:
+            return np.concatenate([np.full(len(p[0]), k) for k, p in enumerate(parts)]), *(np.concatenate([p[c] for p in parts]) for c in (1, 2))
     codes = np.zeros(len(symbols) - N + 1, np.int64)
     for k in range(N):
-        codes = codes * SYMBOLS + symbols[k : len(symbols) - N + 1 + k]
+        codes = codes * many + symbols[k : len(symbols) - N + 1 + k]
     text = np.repeat(np.arange(n), np.diff(at))[: len(codes)]
     # an n-gram ends with its text's last blank, which the next text shares
     inside = np.arange(len(codes)) + N - 1 <= at[1:][text]
-    key, count = np.unique(text[inside] * SYMBOLS**N + codes[inside], return_counts=True)
-    text, gram = key // SYMBOLS**N, key % SYMBOLS**N
-    real = gram % SYMBOLS ** (N - 1) > 0  # more than blanks
+    key, count = np.unique(text[inside] * many**N + codes[inside], return_counts=True)
+    text, local = key // many**N, key % many**N
+    gram = np.zeros(len(local), np.int64)
+    for k in range(N):
+        gram = gram << POINT | points[local // many ** (N - 1 - k) % many]
+    real = gram & ((1 << POINT * (N - 1)) - 1) > 0  # more than blanks
     return text[real], gram[real], count[real]
 
 
@@ -137,19 +152,25 @@ def train(docs: DataFrame, text_col: str, lang_col: str) -> tuple[list[str], np.
             langs, grams, n = np.array(batch.column(0).to_pylist(), object), batch.column(1).to_numpy(), batch.column(2).to_numpy()
             for lang in set(langs):
                 mine = langs == lang
-                part = n[mine].astype(np.float64) @ gram_vectors(grams[mine]).astype(np.float64)
-                sums[lang] = sums.get(lang, 0) + part
-        for lang, v in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * DIMENSIONS), pa.array(np.arange(DIMENSIONS)), pa.array(v)], ["lang", "d", "v"])
-
-    parts = counts.mapInArrow(lean(bundle), "lang string, d long, v double").groupBy("lang", "d").agg(F.sum("v").alias("v"))
-    rows_ = parts.limit(MAX_LANGUAGES * DIMENSIONS + 1).collect()
-    langs = sorted({r["lang"] for r in rows_}, key=lambda x: x.encode("utf-32-be"))
-    if len(langs) > MAX_LANGUAGES:
+                for lo in range(0, int(mine.sum()), 4096):
+                    part = n[mine][lo : lo + 4096].astype(np.float64) @ gram_vectors(grams[mine][lo : lo + 4096]).astype(np.float64)
+                    sums[lang] = sums.get(lang, 0) + part
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], ["lang", "v"])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[str, np.ndarray] = {}
+        for batch in batches:
+            for lang, v in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                sums[lang] = sums.get(lang, 0) + np.frombuffer(v.as_buffer(), np.float64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], ["lang", "v"])
+
+    kind = "lang string, v binary"
+    parts = counts.mapInArrow(lean(bundle), kind).repartition(shuffle_parts(docs.sparkSession), "lang").mapInArrow(lean(merge), kind)
+    found = {r["lang"]: np.frombuffer(r["v"], np.float64) for r in parts.limit(MAX_LANGUAGES + 1).collect()}  # one row a language
+    if len(found) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    out, place = np.zeros((len(langs), DIMENSIONS)), {x: i for i, x in enumerate(langs)}
-    for r in rows_:
-        out[place[r["lang"]], r["d"]] = r["v"]
+    langs = sorted(found, key=lambda x: x.encode("utf-32-be"))
+    out = np.stack([found[x] for x in langs]) if langs else np.zeros((0, DIMENSIONS))
     norm = np.linalg.norm(out, axis=1, keepdims=True)
     return langs, (out / np.where(norm, norm, 1)).astype(np.float32)
 
@@ -223,7 +244,11 @@ def held_out(id_: Column) -> Column:
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """Learns from the rows not held out that have a language, and predicts all: id, held_out, lang_pred, score."""
+    """Learns from the rows not held out that have a language, and predicts all: id, held_out, lang_pred, score.
+
+    Each row is predicted by its own text, so rows with equal or null ids get a row each, and repeated ones are learned
+    as often as they stand.  An empty table gives an empty result.  Other columns are ignored.
+    """
     small_batches(docs.sparkSession)
     langs, prototypes = train(docs.filter(~held_out(F.col(id_col))), text_col, lang_col)
     out = predict(docs, langs, prototypes, id_col, text_col)

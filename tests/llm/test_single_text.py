@@ -244,6 +244,58 @@ def test_language(spark, sf):
     assert sum(r.lang_pred == docs[r.doc_id].lang for r in held) >= 0.97 * len(held) and all(0 <= r.score <= 1 for r in got)
 
 
+def grams_plainly(text):
+    out, run = Counter(), [0]
+    for ch in text or "":
+        c = ord(ch.lower()[0]) if ch.isalpha() else 0
+        if c or run[-1]:
+            run.append(c)
+    if run[-1]:
+        run.append(0)
+    for three in zip(run, run[1:], run[2:], strict=False):
+        out[three] += 1
+    return out
+
+
+def bundle_plainly(grams):
+    total = np.zeros(langid.DIMENSIONS)
+    for three, n in grams.items():
+        bound = np.ones(langid.DIMENSIONS)
+        for place, c in enumerate(three):
+            bound *= np.roll(langid.letter_vectors(np.array([c]))[0].astype(float), 2 - place)
+        total += n * bound
+    return total
+
+
+def test_language_against_plain_python(spark):
+    """Counts, bundles, prototypes and cosines of the operator, n-gram by n-gram; Han letters are told apart."""
+    lines = {"en": "the quick brown fox jumps over the lazy dog", "de": "der schnelle braune Fuchs springt über den Hund", "zh": "世界人权宣言 人人生而自由", "ja": "世界人權宣言 すべての人間は", None: "no language given here"}
+    rng = random.Random(7)
+    rows = [(i, " ".join(rng.choices(lines[lang].split(), k=rng.randrange(1, 12))), lang) for i, lang in enumerate(list(lines) * 12)] + [(900, None, "en"), (901, "123 !", "de"), (None, "the fox", "en")]
+    learned = {}
+    for i, text, lang in rows:
+        if text is not None and lang is not None and not (i is not None and zlib.crc32(str(i).encode()) % 4 == 2):
+            learned[lang] = learned.get(lang, Counter()) + grams_plainly(text)
+    prototypes = {lang: bundle_plainly(g) for lang, g in learned.items()}
+    got = langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)).collect()
+    assert len(got) == len(rows)
+    texts = {i: t for i, t, _ in rows}
+    for r in got:
+        v = bundle_plainly(grams_plainly(texts[r.doc_id]))
+        if not v.any():
+            assert (r.lang_pred, r.score) == ("und", 0)
+            continue
+        cosines = {lang: v @ p / np.linalg.norm(v) / np.linalg.norm(p) for lang, p in prototypes.items()}
+        assert r.score == pytest.approx(max(0, max(cosines.values())), abs=1e-4) and cosines[r.lang_pred] == pytest.approx(max(cosines.values()), abs=1e-5)
+
+
+def test_each_letter_has_a_vector_of_its_own():
+    v = langid.letter_vectors(np.array([0, ord("a"), 0x4E13, ord("b"), 0x4E13 + 255]))
+    assert v.shape == (5, 1024) and set(np.unique(v)) == {-1, 1}
+    assert (np.abs(v.astype(int) @ v.T.astype(int) - 1024 * np.eye(5)) < 200).all()
+    assert langid.letters()[ord("Ä")] == ord("ä") and langid.letters()[0x4E13] == 0x4E13 and langid.letters()[ord("1")] == 0
+
+
 def test_language_edge_cases(nasty, nasty_rows, empty):
     got = langid.identify(nasty).collect()
     assert len(got) == len(nasty_rows)
@@ -260,20 +312,20 @@ def test_gram_counts_by_hand():
     raw = [t.encode() for t in texts]
     buf, off = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
     text, gram, n = langid.gram_counts(buf, off)
-    sym = lambda c: 0 if c == " " else ord(c.lower()) % 255 + 1
+    sym = lambda c: 0 if c == " " else ord(c.lower())
     want = Counter()
     for i, t in enumerate(texts):
         s = " " + re.sub(r"[\W\d]+", " ", t).strip() + " "
         for k in range(len(s) - 2):
             if s[k + 1 : k + 3].strip():
-                want[i, (sym(s[k]) * 256 + sym(s[k + 1])) * 256 + sym(s[k + 2])] += 1
+                want[i, sym(s[k]) << 42 | sym(s[k + 1]) << 21 | sym(s[k + 2])] += 1
     assert Counter({(a, b): c for a, b, c in zip(text.tolist(), gram.tolist(), n.tolist(), strict=True)}) == want
 
 
 def test_vectors_bind_and_bundle():
-    base = langid.letter_vectors()
-    v = langid.gram_vectors(np.array([(5 * 256 + 7) * 256 + 9]))[0]
-    assert (v == np.roll(base[5], 2) * np.roll(base[7], 1) * base[9]).all()
+    a, b, c = langid.letter_vectors(np.array([5, 7, 9]))
+    v = langid.gram_vectors(np.array([5 << 42 | 7 << 21 | 9]))[0]
+    assert (v == np.roll(a, 2) * np.roll(b, 1) * c).all()
 
 
 # --- tokens
