@@ -1,7 +1,8 @@
 """Connected components of a distributed edge list by alternating large and small stars.
 
 Each step is one aggregation and one join on a node.  A node with many edges is aggregated by its minimum, map-side
-first; the join reads its edges in one task, 16 bytes an edge.  No edge list reaches the driver.
+first; for the join its edges are dealt over SALTS parts, each of which gets the minimum, so that the centre of a large
+star is not one task's.  No edge list reaches the driver.
 """
 
 from __future__ import annotations
@@ -12,10 +13,16 @@ from pyspark.sql import functions as F
 from affinis.llm.common import durable
 
 
+#: Parts that the edges of each node are dealt over.
+SALTS = 16
+
+
 def _large(edges: DataFrame) -> DataFrame:
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.join(least, "u").filter("v > u and v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = both.groupBy("u").agg(F.min("v").alias("m"), F.max("v").alias("most")).filter("most > u").select("u", F.least("u", "m").alias("m"))
+    dealt = both.filter("v > u").withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
+    everywhere = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return dealt.join(everywhere, ["u", "salt"]).filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small(edges: DataFrame) -> DataFrame:
