@@ -50,7 +50,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of tokens, one row a piece; every row is packed for itself, nulls and repeats as well."""
-    return packing.pack(docs)
+    return packing.pack_documents(docs)
 
 
 STAGES: list[tuple[str, Stage]] = [
