@@ -47,15 +47,15 @@ def label_pairs(pairs: DataFrame, gold: DataFrame) -> DataFrame:
     return pairs.join(true, ["country", "s1", "r"], "left").withColumn("is_true", F.coalesce("_true", F.lit(False))).drop("_true")
 
 
-def blocking_recall(labelled: DataFrame, entities: DataFrame) -> DataFrame:
-    """By country: share of true pairs that are candidates, candidates per S1 record, and the ceiling of F0.5.
+def blocking_recall(labelled: DataFrame, entities: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
+    """By country (and extra columns of both tables): share of true pairs that are candidates, candidates per S1 record, and the ceiling of F0.5.
 
     The ceiling is that of a matcher that accepts the true candidates and nothing else.
     """
-    got = labelled.groupBy("country", "s1").agg(F.count("*").alias("n_cands"), F.sum(F.col("is_true").cast("long")).alias("h"))
-    all_ = entities.join(got, ["country", "s1"], "left").fillna(0, ["n_cands", "h"])
+    got = labelled.groupBy(*extra, "country", "s1").agg(F.count("*").alias("n_cands"), F.sum(F.col("is_true").cast("long")).alias("h"))
+    all_ = entities.join(got, [*extra, "country", "s1"], "left").fillna(0, ["n_cands", "h"])
     recall = F.sum("h") / F.greatest(F.sum("n_gold"), F.lit(1))
-    return all_.groupBy("country").agg(recall.alias("pair_recall"), (F.sum("n_cands") / F.count("*")).alias("cands_per_s1"), F.avg(ceiling(F.col("h"), F.col("n_gold"))).alias("ceiling_f05"))
+    return all_.groupBy(*extra, "country").agg(recall.alias("pair_recall"), (F.sum("n_cands") / F.count("*")).alias("cands_per_s1"), F.avg(ceiling(F.col("h"), F.col("n_gold"))).alias("ceiling_f05"))
 
 
 def ceiling(hits: Column, gold: Column) -> Column:

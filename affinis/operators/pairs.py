@@ -103,6 +103,7 @@ def similarity_features(sided: DataFrame) -> DataFrame:
     )
 
 
+# Names of the features, by how they are computed.
 SET_FEATURES = ["name_jacc", "name_contain", "sq_eq", "sq_contain", "n_tok1", "n_tok2", "name2_nonascii", "addr_jacc", "addr_contain2", "addr1_empty", "addr2_empty", "num_shared", "first_num_eq", "first_num_prefix", "a_tok1", "a_tok2", "name_in_addr2", "sk_jacc"]
 SIMILARITY_FEATURES = ["name_ratio", "name_tsort", "name_tset", "name_partial", "name_jw", "sq_ratio", "addr_ratio", "addr_tset", "addr_partial", "sk_ratio", "sk_tset"]
 NUMBER_FEATURES = ["r_nums", "s_nums", "n_exact", "n_affix", "n_near1", "n_other", "frac_other", "log_min_diff_other", "log_first_absdiff", "first_rel"]

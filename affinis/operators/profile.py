@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from affinis.sources.shared import stored
 from affinis.functions.text import empty_address, postal_code
 
 
@@ -78,7 +79,8 @@ def average_rank(df: DataFrame, column: str, to: str) -> DataFrame:
     is taken within ranges of values, over the ranges' totals.
     """
     n = df.groupBy(F.col(column).alias("_v")).agg(F.count("*").alias("_c"))
-    ranged = n.repartitionByRange("_v").withColumn("_part", F.spark_partition_id())
+    # stored, since the partition's number is read twice
+    ranged = stored(n.repartitionByRange("_v").withColumn("_part", F.spark_partition_id()), "ranged")
     totals = ranged.groupBy("_part").agg(F.sum("_c").alias("_t"))
     before = totals.withColumn("_before", F.coalesce(F.sum("_t").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_t")
     inner = Window.partitionBy("_part").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)

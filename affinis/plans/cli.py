@@ -21,12 +21,13 @@ from pyspark.sql import functions as F
 from affinis.operators import blocking, decide, evaluate, model, ranking, records, sampling
 from affinis.plans import linkage
 from affinis.plans.linkage import Config
-from affinis.sources import sinks, tables
+from affinis.sources import shared, sinks, tables
 
 
 def _arguments(argv: list[str] | None) -> argparse.Namespace:
     top = argparse.ArgumentParser(prog="affinis")
     sub = top.add_subparsers(dest="command", required=True)
+    # Names of the commands and options, and their defaults.
     for name in ("train", "predict", "stack", "eval-blocking", "eval-reverse", "misses", "errors"):
         p = sub.add_parser(name)
         p.add_argument("--data-dir", default="dataset")
@@ -69,10 +70,16 @@ def _truth(spark: SparkSession, a: argparse.Namespace, tokens: DataFrame) -> Dat
     return tables.ground_truth(spark, f"{a.data_dir}/train/train_ground_truth.tsv").join(s1, "s1").select("country", "s1", "r")
 
 
+def _fingerprint(tokens: DataFrame) -> str:
+    """Number of the records and the sum of their hashes, so that stored features of other records are not taken for theirs."""
+    hashes = F.sum(F.xxhash64("country", "src", "entity_id", "business_name", "business_address").cast("decimal(38,0)"))
+    return "-".join(map(str, tokens.agg(F.count("*"), hashes).first()))
+
+
 def _features(spark: SparkSession, a: argparse.Namespace, tokens: DataFrame, split: str, config: Config) -> DataFrame:
-    shape = {k: v for k, v in asdict(config).items() if k in ("k", "m", "rev_m", "word_cap", "pair_cap")} | {"split": split, "countries": a.countries, "data": a.data_dir}
+    shape = {k: v for k, v in asdict(config).items() if k in ("k", "m", "rev_m", "word_cap", "pair_cap")} | {"split": split, "countries": a.countries, "content": _fingerprint(tokens)}
     path = f"{a.store}/features-{split}-{hashlib.sha256(json.dumps(shape, sort_keys=True).encode()).hexdigest()[:16]}"
-    if not a.reuse:
+    if not (a.reuse and shared.exists(spark, path)):
         linkage.features(linkage.candidates(tokens, config), tokens).write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
@@ -100,8 +107,9 @@ def predict(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     fitted, config = _saved(spark, a)
     tokens = _tokens(spark, a, a.split)
     found = _features(spark, a, tokens, a.split, config)
-    s1 = _s1(tokens).withColumn("position", F.monotonically_increasing_id())
-    out = linkage.predict(fitted, found, s1.select("s1", "position"), config, a.output)
+    s1 = tables.in_order(spark, f"{a.data_dir}/{a.split}/{a.split}_source1.tsv").withColumnRenamed("entity_id", "s1")
+    expect = [r["country"] for r in tables.countries_of(_s1(tokens)).collect()]  # one row a country
+    out = linkage.predict(fitted, found, s1.join(_s1(tokens), "s1", "left_semi"), config, a.output, expect)
     return out.groupBy("country").agg(F.count("*").alias("candidates"), F.sum(F.col("accepted").cast("long")).alias("matches"))
 
 
@@ -137,19 +145,24 @@ def _ranked(spark: SparkSession, a: argparse.Namespace) -> tuple[DataFrame, Data
     return blocking.ranked_pairs(blocking.scored_pairs(weights)), _truth(spark, a, tokens), _s1(tokens), weights
 
 
+# Settings that are tried; 0 stands for no limit.
+GRID_K, GRID_M = (3, 5, 8, 10, 15, 20), (0, 1, 2, 3)
+
+
 def eval_blocking(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     """Pair recall, candidates and ceiling over k and m."""
     ranked, truth, s1, _ = _ranked(spark, a)
     s1 = sampling.hash_sample(s1, "s1", a.sample, groups=["country"])
     ranked = ranked.join(s1, ["country", "s1"], "left_semi")
     ranked = linkage.stored(ranked, "ranked")
-    entities, out = evaluate.gold_counts(s1, truth), None
-    for k in (3, 5, 8, 10, 15, 20):  # settings, not data
-        for m in (None, 1, 2, 3):
-            one = evaluate.blocking_recall(evaluate.label_pairs(blocking.filter_candidates(ranked, k, m), truth), entities)
-            one = one.select(F.lit(k).alias("k"), F.lit(m).cast("int").alias("m"), "*")
-            out = one if out is None else out.unionByName(one)
-    return out.orderBy("country", "k", "m")
+    every = lambda df, name, values: df.withColumn(name, F.explode(F.array(*[F.lit(v).cast("int") for v in values])))
+    pairs = every(evaluate.label_pairs(ranked, truth), "k", GRID_K).filter("fwd_rank < k")
+    pairs = every(pairs.withColumn("again", ranking.rank_within(("k", "country", "r"), "score", "s1")), "m", GRID_M).filter("m = 0 or again < m")
+    entities = every(every(evaluate.gold_counts(s1, truth), "k", GRID_K), "m", GRID_M)
+    out = evaluate.blocking_recall(pairs, entities, ["k", "m"]).withColumn("m", F.nullif("m", F.lit(0)))
+    out = linkage.stored(out, "grid")  # one row a setting and country
+    sinks.append_log(out.withColumns({"note": F.lit(a.note), "max_df": F.lit(a.max_df), "max_df_pair": F.lit(a.max_df_pair), "sample": F.lit(a.sample)}), f"{a.model_dir}/blocking_log")
+    return out.select("k", "m", "country", "pair_recall", "cands_per_s1", "ceiling_f05").orderBy("country", "k", "m")
 
 
 def eval_reverse(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
@@ -175,8 +188,8 @@ def errors(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     """Examples of each kind of wrong decision on the validation part."""
     fitted, config = _saved(spark, a)
     rows, _, tokens = _validation(spark, a, config)
-    scored = model.predict(fitted, rows.filter("part = 'val'"), config.features).select("country", "s1", "r", "src", "p", "is_true")
-    wrong = evaluate.error_kinds(linkage.decided(scored, config), config.threshold)
+    scored = linkage.scores(fitted, rows.filter("part = 'val'"), config, "src", "is_true")
+    wrong = evaluate.error_kinds(linkage.decided(scored, config), config.floor if config.rule == "expected_f" else config.threshold)
     for by in ("country", "src"):
         evaluate.crosstab(wrong, "kind", by).orderBy("kind", by).show(100, False)
     shown = sampling.hash_sample(wrong.withColumn("pair", F.concat("s1", "r")), "pair", a.n_show, groups=["kind"])

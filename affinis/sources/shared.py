@@ -21,6 +21,12 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{sc.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a table has been written there to its end."""
+    done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """The rows of df as a Parquet table in the shared folder; lineage ends there."""
     path = shared_path(df.sparkSession, name)

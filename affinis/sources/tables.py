@@ -22,6 +22,13 @@ def scan_tsv(spark: SparkSession, path: str, columns: tuple[str, ...] | None = N
     return named.na.fill("")
 
 
+def in_order(spark: SparkSession, path: str, column: str = "entity_id") -> DataFrame:
+    """A column of a TSV, with position, which orders its rows as in the file, however the scan deals its parts."""
+    raw = spark.read.options(sep="\t", header=True, quote="", escape="", encoding="UTF-8", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+    place = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("row"))
+    return raw.select(F.coalesce(column, F.lit("")).alias(column), place.alias("position"))
+
+
 def scan_sources(spark: SparkSession, folder: str, split: str) -> DataFrame:
     """The three sources of a split as one table with src; columns beyond RECORD are dropped."""
     parts = [scan_tsv(spark, f"{folder}/{split}/{split}_source{k}.tsv", RECORD).withColumn("src", F.lit(k)) for k in SOURCES]
