@@ -8,6 +8,7 @@ that the ledger lacks for it, adds the findings to the ledger, and joins them ba
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -111,8 +112,12 @@ def scan_blobs(versions: DataFrame, text_col: str = "text", ledger: DataFrame |
 
 
 def ledger_folder(spark: SparkSession) -> str:
-    """Where the ledger is kept: the setting spark.affinis.secrets.ledger, else a folder of this application in the shared one."""
-    return spark.conf.get("spark.affinis.secrets.ledger", None) or f"{shared_folder(spark)}/secret-ledger-{spark.sparkContext.applicationId}"
+    """Where the ledger is kept: the setting spark.affinis.secrets.ledger, which makes runs incremental, else a new folder."""
+    return spark.conf.get("spark.affinis.secrets.ledger", None) or f"{shared_folder(spark)}/secret-ledger-{uuid.uuid4().hex}"
+
+
+#: Parts that the rows of each blob are dealt over when they meet its findings.
+SALTS = 16
 
 
 LEDGER = f"blob string, rules array<string>, spans {SPANS}"
@@ -146,7 +151,9 @@ def findings(versions: DataFrame, ledger: DataFrame, id_col: str = "doc_id", tex
     mine = ledger.withColumn("spans", F.filter("spans", lambda s: F.array_contains("rules", key_of[s["kind"]]))).filter(F.size("spans") > 0)
     one = mine.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"))
     rows = versions.select(F.col(id_col).cast("long").alias("id"), address(F.col(text_col)).alias("blob"))
-    out = rows.join(one, "blob", "left")
+    # a blob that very many rows have is not one task's
+    dealt = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+    out = dealt.join(one.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["blob", "salt"], "left")
     return out.select(F.col("id").alias(id_col), "blob", F.array_sort(F.coalesce("spans", F.array().cast(SPANS))).alias("spans"))
 
 

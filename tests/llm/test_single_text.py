@@ -195,9 +195,15 @@ def test_ledger_is_incremental(spark):
     assert sorted(whole) == sorted(secrets.digest(secrets.findings(more, first.unionByName(second))).collect())
 
 
-def test_the_query_keeps_its_ledger(spark, sf, tmp_path, monkeypatch):
-    """A second run of the query scans nothing, and gives the same rows."""
-    monkeypatch.setattr(secrets, "ledger_folder", lambda _: str(tmp_path / "ledger"))
+@pytest.fixture
+def kept(spark, tmp_path):
+    spark.conf.set("spark.affinis.secrets.ledger", str(tmp_path / "ledger"))
+    yield
+    spark.conf.unset("spark.affinis.secrets.ledger")
+
+
+def test_the_query_keeps_its_ledger(spark, sf, tmp_path, kept):
+    """With a ledger named in the settings a second run of the query scans nothing, and gives the same rows."""
     first = sorted(queries.op2_secret_scan(spark, sf).collect())
     rows = secrets.read_ledger(spark, str(tmp_path / "ledger")).count()
     assert rows == docs_of(spark, sf).select(secrets.address(F.col("text"))).distinct().count()
