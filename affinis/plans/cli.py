@@ -142,7 +142,8 @@ def stack(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
 def _ranked(spark: SparkSession, a: argparse.Namespace) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     tokens = _tokens(spark, a, a.split)
     weights = linkage.stored_weights(tokens, a.max_df, a.max_df_pair)
-    return blocking.ranked_pairs(blocking.scored_pairs(weights)), _truth(spark, a, tokens), _s1(tokens), weights
+    found = blocking.near_pairs(weights, max(*GRID_K, getattr(a, "k", 0)), 3)  # ranks from there on are asked for by no command
+    return blocking.ranked_pairs(found), _truth(spark, a, tokens), _s1(tokens), weights
 
 
 # Settings that are tried; 0 stands for no limit.

@@ -55,7 +55,7 @@ def stored_weights(tokenised: DataFrame, word_cap: int, pair_cap: int) -> DataFr
 def candidates(tokenised: DataFrame, config: Config) -> DataFrame:
     """country, s1, r, src, score and the context columns."""
     weighted = stored_weights(tokenised, config.word_cap, config.pair_cap)
-    found = blocking.candidates(blocking.scored_pairs(weighted), config.k, config.m, config.rev_m)
+    found = blocking.candidates(blocking.near_pairs(weighted, config.k, config.rev_m), config.k, config.m, config.rev_m)
     return ranking.context_features(found)
 
 

@@ -48,8 +48,8 @@ def weighted(spark: SparkSession, sf_dir: str, cap: int = CAP) -> DataFrame:
     return linkage.stored_weights(fx.er_tokens(spark, sf_dir), cap, cap)
 
 
-def scored(spark: SparkSession, sf_dir: str, cap: int = CAP) -> DataFrame:
-    return blocking.scored_pairs(weighted(spark, sf_dir, cap))
+def near(spark: SparkSession, sf_dir: str, k: int = K, rev_m: int = REV, cap: int = CAP) -> DataFrame:
+    return blocking.near_pairs(weighted(spark, sf_dir, cap), k, rev_m)
 
 
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -241,22 +241,22 @@ def blocking_l2(spark, sf_dir):
 
 @query(sql(*SCORED, select=f"SELECT country, s1, r, src, score, fwd_rank FROM rk WHERE fwd_rank < {K}"))
 def simjoin_topk(spark, sf_dir):
-    return blocking.top_k(scored(spark, sf_dir), K).select("country", "s1", "r", "src", "score", F.col("fwd_rank").cast("long").alias("fwd_rank"))
+    return blocking.top_k(near(spark, sf_dir, rev_m=0), K).select("country", "s1", "r", "src", "score", F.col("fwd_rank").cast("long").alias("fwd_rank"))
 
 
 @query(sql(*SCORED, select=f"SELECT country, s1, r, src, score, fwd_rank < {K} AS is_fwd FROM rk WHERE fwd_rank < {K} OR rev_rank < {REV}"))
 def simjoin_bidirectional(spark, sf_dir):
-    return blocking.bidirectional(scored(spark, sf_dir), K, REV).select("country", "s1", "r", "src", "score", "is_fwd")
+    return blocking.bidirectional(near(spark, sf_dir), K, REV).select("country", "s1", "r", "src", "score", "is_fwd")
 
 
 @query(sql(*CANDS, select="SELECT * FROM cand"))
 def blocking_candidates(spark, sf_dir):
-    return blocking.candidates(scored(spark, sf_dir), K, M, REV)
+    return blocking.candidates(near(spark, sf_dir), K, M, REV)
 
 
 @query(sql(*SCORED, select="SELECT country, s1, r, src, score FROM (SELECT *, row_number() OVER (PARTITION BY country, r ORDER BY score DESC, s1) AS again FROM rk WHERE fwd_rank < 5) WHERE again <= 2"))
 def filter_candidates(spark, sf_dir):
-    return blocking.filter_candidates(blocking.ranked_pairs(scored(spark, sf_dir)), 5, 2).select("country", "s1", "r", "src", "score")
+    return blocking.filter_candidates(blocking.ranked_pairs(near(spark, sf_dir, 5, 0)), 5, 2).select("country", "s1", "r", "src", "score")
 
 
 @query(sql(*SCORED, GOLD, select="SELECT g.country, g.s1, g.r, coalesce(s.score, 0.0) AS score FROM (SELECT DISTINCT * FROM gold) g LEFT JOIN sp s ON g.country = s.country AND g.s1 = s.s1 AND g.r = s.r"))
@@ -282,7 +282,7 @@ GRID_K, GRID_M = (3, 5, 8, 10), (1, 2, 3)
     )
 )
 def blocking_grid(spark, sf_dir):
-    ranked = stored(evaluate.label_pairs(blocking.ranked_pairs(scored(spark, sf_dir)), fx.er_gold(spark, sf_dir)), "ranked")
+    ranked = stored(evaluate.label_pairs(blocking.ranked_pairs(near(spark, sf_dir, max(GRID_K), 0)), fx.er_gold(spark, sf_dir)), "ranked")
     grid = ranked.withColumn("k", F.explode(F.array(*map(F.lit, GRID_K)))).filter("fwd_rank < k")
     grid = grid.withColumn("again", ranking.rank_within(("k", "country", "r"), "score", "s1")).withColumn("m", F.explode(F.array(*map(F.lit, GRID_M)))).filter("again < m")
     n = entities(spark, sf_dir).groupBy("country").agg(F.sum("n_gold").alias("gold"), F.count("*").alias("ents"))
@@ -296,7 +296,7 @@ CEIL = "CASE WHEN n_gold = 0 THEN 1.0 WHEN h = 0 THEN 0.0 ELSE 1.25 * (h / n_gol
 
 
 def _recall(spark, sf_dir, cap=CAP):
-    found = blocking.candidates(scored(spark, sf_dir, cap), K, M, REV)
+    found = blocking.candidates(near(spark, sf_dir, cap=cap), K, M, REV)
     return evaluate.blocking_recall(evaluate.label_pairs(found, fx.er_gold(spark, sf_dir)), entities(spark, sf_dir))
 
 
@@ -315,17 +315,17 @@ def ceiling_f05(spark, sf_dir):
 
 @query(sql(*FULL_SCORED, select=f"SELECT country, s1, r, src, score, fwd_rank FROM rk WHERE fwd_rank < {K}"))
 def simjoin_topk_production(spark, sf_dir):
-    return blocking.top_k(scored(spark, sf_dir, FULL), K).select("country", "s1", "r", "src", "score", F.col("fwd_rank").cast("long").alias("fwd_rank"))
+    return blocking.top_k(near(spark, sf_dir, rev_m=0, cap=FULL), K).select("country", "s1", "r", "src", "score", F.col("fwd_rank").cast("long").alias("fwd_rank"))
 
 
 @query(sql(*FULL_SCORED, select=f"SELECT country, s1, r, src, score, fwd_rank < {K} AS is_fwd FROM rk WHERE fwd_rank < {K} OR rev_rank < {REV}"))
 def simjoin_bidirectional_production(spark, sf_dir):
-    return blocking.bidirectional(scored(spark, sf_dir, FULL), K, REV).select("country", "s1", "r", "src", "score", "is_fwd")
+    return blocking.bidirectional(near(spark, sf_dir, cap=FULL), K, REV).select("country", "s1", "r", "src", "score", "is_fwd")
 
 
 @query(sql(*FULL_CANDS, select="SELECT * FROM cand"))
 def blocking_candidates_production(spark, sf_dir):
-    return blocking.candidates(scored(spark, sf_dir, FULL), K, M, REV)
+    return blocking.candidates(near(spark, sf_dir, cap=FULL), K, M, REV)
 
 
 @query(sql(*FULL_CANDS, GOLD, ENT, GCOUNT, CL, CC, select="SELECT country, round(sum(h) / greatest(sum(n_gold), 1), 6) AS pair_recall, round(sum(n_cands) / count(*), 6) AS cands_per_s1 FROM cc GROUP BY 1"))
@@ -346,7 +346,7 @@ def ceiling_f05_production(spark, sf_dir):
     )
 )
 def reverse_recall(spark, sf_dir):
-    ranked = blocking.ranked_pairs(scored(spark, sf_dir)).select("country", "s1", "r", "fwd_rank", "rev_rank")
+    ranked = blocking.ranked_pairs(near(spark, sf_dir)).select("country", "s1", "r", "fwd_rank", "rev_rank")
     found = fx.er_gold(spark, sf_dir).distinct().join(ranked, ["country", "s1", "r"], "left")
     hit = lambda c: F.round(F.avg(F.coalesce(c, F.lit(False)).cast("double")), 6)
     fwd, rev = F.col("fwd_rank") < K, F.col("rev_rank")
@@ -356,14 +356,14 @@ def reverse_recall(spark, sf_dir):
 @query(sql(*SCORED, GOLD, select=f"SELECT country, CASE WHEN coalesce(score, 0) <= 0 THEN 'zero' ELSE 'crowd' END AS kind, count(*) AS n FROM (SELECT DISTINCT g.country, g.s1, g.r, k.score, k.fwd_rank FROM gold g LEFT JOIN rk k ON g.country = k.country AND g.s1 = k.s1 AND g.r = k.r) WHERE coalesce(fwd_rank, 1000000) >= 2 GROUP BY ALL"))
 def miss_kinds(spark, sf_dir):
     w = weighted(spark, sf_dir)
-    found = blocking.top_k(blocking.scored_pairs(w), 2).select("country", "s1", "r")
+    found = blocking.top_k(blocking.near_pairs(w, 2, 0), 2).select("country", "s1", "r")
     missed = fx.er_gold(spark, sf_dir).distinct().join(found, ["country", "s1", "r"], "left_anti")
     return evaluate.miss_kinds(blocking.pair_score(missed, w)).groupBy("country", "kind").agg(F.count("*").alias("n"))
 
 
 @query(sql(*SCORED, select="SELECT country, s1, src, CASE WHEN count(*) >= 3 THEN min(score) ELSE 0.0 END AS kth_score FROM rk WHERE fwd_rank < 3 GROUP BY ALL"))
 def kth_score(spark, sf_dir):
-    return ranking.kth_scores(blocking.top_k(scored(spark, sf_dir), 3), 3)
+    return ranking.kth_scores(blocking.top_k(near(spark, sf_dir, 3, 0), 3), 3)
 
 
 # --- windows
@@ -380,7 +380,7 @@ CONTEXT = ("fwd_rank", "rev_rank", "s1_best", "n_cands_s1", "r_best", "n_cands_r
     )
 )
 def context_features(spark, sf_dir):
-    out = ranking.context_features(blocking.candidates(scored(spark, sf_dir), K, M, REV))
+    out = ranking.context_features(blocking.candidates(near(spark, sf_dir), K, M, REV))
     ranks = [F.col(c).cast("long").alias(c) for c in CONTEXT[:2]]
     return out.select("country", "s1", "r", "src", "score", *ranks, *CONTEXT[2:7], *r6(*CONTEXT[7:]))
 

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from affinis.operators import blocking, decide, evaluate, pairs, ranking, records, sampling
+from affinis.plans import fixtures
 
 
 def record(i, src, name, addr="", country="x"):
@@ -58,6 +59,23 @@ def test_candidates(spark):
     assert {r.r: r.score for r in blocking.pair_score(asked, w).collect()} == {"S2-1": got["S1-1", "S2-1"], "S3-2": 0.0}
 
 
+def test_near_pairs(spark, sf, monkeypatch):
+    """Blocks of few records give the same candidates as the table of all pairs, and only the best pairs leave them."""
+    t = fixtures.er_tokens(spark, sf)
+    w = blocking.weighted_keys(records.record_keys(t), t, blocking.caps(5000, 5000)).cache()
+    pairs_of_all = blocking.scored_pairs(w).cache()
+    for name, value in (("LEAST_BLOCK", 7), ("OTHERS", 20), ("PRODUCTS", 50), ("SUMS", 100)):
+        monkeypatch.setattr(blocking, name, value)
+    for k, rev_m in ((10, 3), (2, 0), (1, 1)):
+        near = blocking.near_pairs(w, k, rev_m).cache()
+        cut = [blocking.candidates(x, k, 2, rev_m) for x in (near, pairs_of_all)] + [blocking.bidirectional(x, k, rev_m).select("country", "s1", "r", "src", "score", "is_fwd") for x in (near, pairs_of_all)]
+        for got, want in (cut[:2], cut[2:]):
+            assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+        assert near.exceptAll(pairs_of_all).count() == 0
+        assert near.groupBy("s1", "r").count().filter("count > 1").count() == 0
+    assert near.count() < pairs_of_all.count()
+
+
 def numbers(spark, a, b):
     df = spark.createDataFrame([(a, b)], "nums1 array<string>, nums2 array<string>")
     return pairs.house_number_features(df).first()
