@@ -121,3 +121,24 @@ def test_components(spark):
                 changed = True
     got = components.components(spark.createDataFrame(edges, "u long, v long"))
     assert {r.node: r.root for r in got.collect()} == root and got.count() == len(root)
+
+
+def test_few_edges_are_solved_in_one_task_and_many_by_stars(spark, monkeypatch):
+    rng = random.Random(4)
+    edges = [(rng.randrange(-300, 300), rng.randrange(-300, 300)) for _ in range(250)] + [(k, k + 1) for k in range(1000, 1100)] + [(2000, 2000)]
+    given = spark.createDataFrame(edges, "u long, v long").repartition(5)
+    found, jobs = [], []
+    for alone in (components.ALONE, -1):
+        monkeypatch.setattr(components, "ALONE", alone)
+        spark.sparkContext.setJobGroup(f"alone {alone}", "")
+        found.append(sorted(map(tuple, components.components(given).collect())))
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"alone {alone}")))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    root = {x: x for e in edges if e[0] != e[1] for x in e}
+    for _ in root:
+        for u, v in edges:
+            if u != v:
+                root[u] = root[v] = min(root[u], root[v])
+    assert found[0] == found[1] == sorted(root.items())
+    assert jobs[0] <= 6 < jobs[1]
+    assert components.components(given.filter("u = v")).count() == 0
